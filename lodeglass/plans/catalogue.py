@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeglass.plans import pipeline
+from lodeglass.session import shipped
 
 MODULES = [pipeline]
 FLAGSHIP = "p4_found"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
+    return {name: shipped(query) for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +64,29 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; its Python functions run there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="lodeglass-package-")
+    archive = shutil.make_archive(os.path.join(folder, "lodeglass"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
+def shipped(query):
+    """`query(spark, folder)`, run with the package shipped."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
