@@ -140,7 +140,7 @@ def header(line: Column) -> Column:
 
 def clean_line(line: Column) -> Column:
     """Without byte order mark, colour codes and a carriage return at the end."""
-    return F.regexp_replace(line, "^﻿|\u001b\\[[0-9;]*m|\r+$", "")
+    return F.regexp_replace(line, "^\ufeff|\u001b\\[[0-9;]*m|\r+$", "")
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeglass.plans import pipeline
+from lodeglass.plans import log_queries, pipeline, rank_queries, text_queries
 from lodeglass.session import shipped
 
-MODULES = [pipeline]
-FLAGSHIP = "p4_found"
+MODULES = [text_queries, log_queries, rank_queries, pipeline]
+FLAGSHIP = "bulk_search_context"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
