@@ -104,7 +104,7 @@ def attribute_rules(contents: DataFrame, root_col: str = "root", path_col: str =
     files = contents.where(F.col(path_col).rlike(r"(?:^|/)\.gitattributes$") & F.col(content_col).isNotNull() & F.col(root_col).isNotNull())
     lines = files.select(
         F.col(root_col).alias("root_path"), F.regexp_extract(path_col, r"^(.*?)/?\.gitattributes$", 1).alias("folder"),
-        F.posexplode(F.split(F.regexp_replace(content_col, "^﻿", ""), r"\r?\n", -1)).alias("line_no", "line"),
+        F.posexplode(F.split(F.regexp_replace(content_col, "^\ufeff", ""), r"\r?\n", -1)).alias("line_no", "line"),
     )
     parts = F.split(F.trim(F.col("line")), r"\s+")
     marks = lines.where(~F.col("line").rlike(r"^\s*(?:#|$)")).select(
@@ -209,7 +209,7 @@ def classify(files: DataFrame, contents: DataFrame, rules: DataFrame | None = No
     texts = (
         contents.where("root IS NOT NULL AND path IS NOT NULL AND content IS NOT NULL").groupBy(F.col("root").alias("root_path"), "path")
         .agg(F.max("content").alias("content"))
-        .withColumn("content", F.regexp_replace("content", "^﻿|\r", ""))
+        .withColumn("content", F.regexp_replace("content", "^\ufeff|\r", ""))
     )
     rules = attribute_rules(contents) if rules is None else rules
     marks = declared(known, rules).groupBy("root_path", "path").agg(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
+from operator import and_
 
 #: Names of the statistics, in the order of `statistics`.
 NAMES = [
@@ -19,7 +21,7 @@ _NAME = re.compile(r"^[A-Za-z_][\w]*(?:[./-]\w+)*$|^\w+(?:/[\w.-]+)+$")
 _COLUMNS = re.compile(r"\S(?: {3,}|\t+)\S")
 _TIGHT_COMMA = re.compile(r"[^\s,;],[^\s\d]")
 _STAMP = re.compile(r"^(?:.{0,38}?\b\d\d?:\d\d:\d\d|[\[{(<]?\w?\d{4}[-/.\d]|\d{9,}|\w+=|[{\[<])")
-_INDEX = re.compile(r"^\d+(?:\.\d+)*\s.*\s\d+$|\.{4,}\s*\d+$")
+_INDEX = re.compile(r"^\d+(?:\.\d+)*\s.*\s\d+$|(?<!\.)\.{4,}+\s*+\d+$")
 _TRIM = ".,;:!?\"'()[]{}<>«»“”„‘’…¿¡`*_–—-"
 _CLOSE = tuple(".!?:…\"”»)")
 _STOP = tuple(".!?…")
@@ -33,11 +35,6 @@ def _bare(token: str) -> str:
     return token.strip(_TRIM)
 
 
-def language_of(words: list[str], common: dict[str, frozenset[str]]) -> str:
-    """The language most of whose common words the text uses; the first in order among equals."""
-    return max(sorted(common), key=lambda k: sum(w in common[k] for w in words), default="")
-
-
 def _wrapped(block: list[str]) -> bool:
     """Whether nearly every line break of a block falls where the next word wouldn't have fitted."""
     width = max(map(len, block))
@@ -47,81 +44,96 @@ def _wrapped(block: list[str]) -> bool:
     return forced >= 0.75 * (len(block) - 1) and words >= 3.2 * (len(block) - 1)
 
 
-def units(text: str) -> list[tuple[str, str]]:
+def units(text: str) -> Iterator[tuple[str, str]]:
     """Paragraphs, unwrapped, and single lines; kind is ``text``, ``item`` (a line of a block that isn't wrapped) or ``broken`` (laid out)."""
-    out: list[tuple[str, str]] = []
     block: list[str] = []
 
-    def flush() -> None:
+    def flush() -> Iterator[tuple[str, str]]:
         if len(block) > 1 and not _wrapped(block):
-            out.extend((x, "item") for x in block)
+            yield from ((x, "item") for x in block)
         elif block:
-            out.append((" ".join(block), "text"))
+            yield " ".join(block), "text"
         block.clear()
 
     for line in text.split("\n"):
         plain = line[_MARK.match(line).end():].strip()
         if not plain:
-            flush()
+            yield from flush()
         elif _STAMP.match(plain) or _COLUMNS.search(plain) or _TIGHT_COMMA.search(plain):
-            flush()
-            out.append((plain, "broken"))
+            yield from flush()
+            yield plain, "broken"
         else:
             block.append(plain)
-    flush()
-    return out
+    yield from flush()
 
 
-def _is_flow(unit: str, kind: str, common: dict[str, frozenset[str]]) -> bool:
-    """Whether a unit reads as sentences of one of the languages."""
-    if kind == "broken" and _STAMP.match(unit) or _INDEX.search(unit) or _COLUMNS.search(unit) or len(_TIGHT_COMMA.findall(unit)) >= 2:
-        return False
-    tokens = unit.split()
+def _is_flow(unit: str, kind: str, tokens: list[str], bare: list[str], wordlike: int, shared: int) -> bool:
+    """Whether a unit reads as sentences; `shared` counts the common words of the language that has most of them in it."""
     n = len(tokens)
     if n < 6 or kind == "item" and n < 9 and not unit.endswith(_STOP):
         return False
-    bare = [_bare(t) for t in tokens]
-    lower = [w.lower() for w in bare]
-    shared = max((sum(w in words for w in lower) for words in common.values()), default=0)
-    wordlike = sum(bool(_WORD.match(w) or _NAME.match(w)) for w in bare)
-    signs_only = sum(not w for w in bare)
-    hard = len(_HARD.findall(unit))
+    if kind == "broken" and _STAMP.match(unit) or _INDEX.search(unit) or _COLUMNS.search(unit) or len(_TIGHT_COMMA.findall(unit)) >= 2:
+        return False
     # names crowd the common words out of technical sentences, which then show by their full stops
     least = 0.0 if sum(t.endswith(_STOP) for t in tokens) >= n / 40 else 0.05 * n
-    return wordlike >= 0.7 * n and least <= shared <= 0.64 * n + 2 and hard <= 0.03 * len(unit) and signs_only <= 0.15 * n
+    if not (wordlike >= 0.7 * n and least <= shared <= 0.64 * n + 2):
+        return False
+    return len(_HARD.findall(unit)) <= 0.03 * len(unit) and bare.count("") <= 0.15 * n
 
 
 def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple[str, list[float]] | None:
-    """(language, the statistics) of a text, or None if it has no visible character."""
+    """(language, the statistics) of a text, or None if it has no visible character.
+
+    The language is the one most of whose common words the text uses, the
+    first in order among equals. Goes unit by unit, so that a long text needs
+    little more memory than its longest paragraph.
+    """
     text = tidy(text)
     if not text.strip():
         return None
-    parts = units(text)
-    tokens = [t for u, _ in parts for t in u.split()]
-    bare = [w for w in (_bare(t).lower() for t in tokens) if w]
-    language = language_of(bare, common)
-    shared = common.get(language, frozenset())
-    letters = [w for w in bare if any(c.isalpha() for c in w)]
-    chars = sum(len(u) for u, _ in parts) or 1
-    visible = sum(len(t) for t in tokens) or 1
-    flow = closed = opaque = 0
-    for unit, kind in parts:
-        flow += _is_flow(unit, kind, common) * len(unit)
+    languages = sorted(common)
+    shared_by, pairs_by, runs_by = ([0] * len(languages) for _ in range(3))
+    words = letters = letter_chars = visible = tokens_n = parts_n = chars = flow = closed = opaque = 0
+    for unit, kind in units(text):
+        tokens = unit.split()
+        bare = [_bare(t).lower() for t in tokens]
+        parts_n += 1
+        tokens_n += len(tokens)
+        chars += len(unit)
+        visible += sum(map(len, tokens))
+        wordlike = 0
+        for w in bare:
+            if w:
+                words += 1
+                if not w.isdigit() and any(c.isalpha() for c in w):
+                    letters += 1
+                    letter_chars += len(w)
+                if _WORD.match(w) or _NAME.match(w):
+                    wordlike += 1
+                elif not w.replace(".", "").replace(",", "").isdigit():
+                    opaque += 1
+        most = 0
+        for k, language in enumerate(languages):
+            hits = [w in common[language] for w in bare if w]
+            n = sum(hits)
+            most = max(most, n)
+            shared_by[k] += n
+            pairs_by[k] += n - (bool(hits) and hits[-1])
+            runs_by[k] += sum(map(and_, hits, hits[1:]))
+        flow += _is_flow(unit, kind, tokens, bare, wordlike, most) * len(unit)
         closed += unit.endswith(_CLOSE) * len(unit)
-    opaque = sum(not (_WORD.match(w) or _NAME.match(w) or w.replace(".", "").replace(",", "").isdigit()) for w in bare)
-    runs = pairs = 0
-    for a, b in zip(bare, bare[1:]):
-        pairs += a in shared
-        runs += a in shared and b in shared
-    return language, [
-        math.log1p(len(bare)),
-        min(sum(map(len, letters)) / len(letters), 20.0) if letters else 20.0,
+    best = max(range(len(languages)), key=lambda k: (shared_by[k], -k), default=None)
+    shared, pairs, runs = (0, 0, 0) if best is None else (shared_by[best], pairs_by[best], runs_by[best])
+    visible = visible or sum(not c.isspace() for c in text)
+    return "" if best is None else languages[best], [
+        math.log1p(words),
+        min(letter_chars / letters, 20.0) if letters else 20.0,
         len(_HARD.findall(text)) / visible,
-        sum(c.isdigit() for c in text) / visible,
-        sum(w in shared for w in letters) / len(letters) if letters else 0.0,
+        sum(map(str.isdigit, text)) / visible,
+        shared / letters if letters else 0.0,
         runs / pairs if pairs else 0.0,
-        math.log1p(min(len(tokens) / len(parts), 30.0)),
-        flow / chars,
-        closed / chars,
-        opaque / len(bare) if bare else 1.0,
+        math.log1p(min(tokens_n / parts_n, 30.0)) if parts_n else 0.0,
+        flow / chars if chars else 0.0,
+        closed / chars if chars else 0.0,
+        opaque / words if words else 1.0,
     ]
