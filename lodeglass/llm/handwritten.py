@@ -169,7 +169,7 @@ def _any(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def _packed(text: Column, body: Column) -> Column:
+def _packed(body: Column) -> Column:
     """Long lines with hardly any white space and much punctuation."""
     longest = F.array_max(F.transform(F.split(body, "\n"), lambda x: F.length(x)))
     n = F.greatest(F.length(body), F.lit(1))
@@ -227,23 +227,24 @@ def classify(files: DataFrame, contents: DataFrame, rules: DataFrame | None = No
     script = F.lower(name).rlike(r"\.(?:js|mjs|cjs)$")
     no_text = text.isNull()
     code = ~F.lower(name).rlike(_NO_CODE_NAMES) & ~F.coalesce(F.col("language"), F.lit("")).isin(NO_CODE)
+    # a mark that is taken back rules its kind out, not the others
+    vendor, generated = (F.coalesce(F.col(f"says_{k}"), F.lit(True)) for k in ("vendored", "generated"))
+    numbers = code & no_text & (F.col("line_count") >= 2000)
     reason = (
         F.when(F.col("says_vendored"), "vendored:declared")
         .when(F.col("says_generated"), "generated:declared")
-        .when(F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_DIRS))), "vendored:folder")
-        .when(F.exists(folders, lambda x: x.rlike(_VERSIONED)), "vendored:version")
-        .when(F.col("mined"), "vendored:mined")
-        .when(head.rlike(_any(VENDOR_NOTICES)) & ~_packed(text, body), "vendored:notice")
-        .when(F.arrays_overlap(folders, F.array(*map(F.lit, GENERATED_DIRS))), "generated:folder")
-        .when(name.rlike(f"(?i){GENERATED_NAMES}"), "generated:name")
-        .when(head.rlike(_any(GENERATED_NOTICES)), "generated:notice")
+        .when(vendor & F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_DIRS))), "vendored:folder")
+        .when(vendor & F.exists(folders, lambda x: x.rlike(_VERSIONED)), "vendored:version")
+        .when(vendor & F.col("mined"), "vendored:mined")
+        .when(vendor & head.rlike(_any(VENDOR_NOTICES)) & ~_packed(body), "vendored:notice")
+        .when(generated & F.arrays_overlap(folders, F.array(*map(F.lit, GENERATED_DIRS))), "generated:folder")
+        .when(generated & name.rlike(f"(?i){GENERATED_NAMES}"), "generated:name")
+        .when(generated & head.rlike(_any(GENERATED_NOTICES)), "generated:notice")
         .when(F.lower(name).rlike(MINIFIED_NAMES), "minified:name")
         .when(code & _data(body), "data:content")
-        .when(_packed(text, body), "minified:content")
+        .when(_packed(body), "minified:content")
         .when(no_text & script & (F.col("line_count") <= 5), "minified:lines")
-        .when(code & no_text & (F.col("line_count") >= 2000) & (F.lower(name).rlike(DATA_NAMES) | F.array_contains(folders, "data") | F.array_contains(folders, "resources")), "data:lines")
+        .when(numbers & (F.lower(name).rlike(DATA_NAMES) | F.array_contains(folders, "data") | F.array_contains(folders, "resources")), "data:lines")
         .when(code & no_text & F.lower(name).rlike(DATA_NAMES) & (F.col("line_count") <= 5), "data:name")
     )
-    taken_back = (F.col("says_vendored") == F.lit(False)) & reason.startswith("vendored") | (F.col("says_generated") == F.lit(False)) & reason.startswith("generated")
-    reason = F.when(~F.coalesce(taken_back, F.lit(False)), reason)
     return joined.select("root_path", "path", F.split_part(reason, F.lit(":"), F.lit(1)).alias("kind"), reason.alias("reason"))

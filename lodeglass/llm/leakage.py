@@ -106,10 +106,11 @@ class Segment:
             if not len(starts):
                 continue
             places = starts[:, None] + np.arange(width)
-            same_document = self.documents(starts) == self.documents(starts + width - 1)
+            docs = self.documents(starts)
+            within = starts + width < self.starts[docs + 1]  # the last place of a document is its end mark
             hits = (self.at[places] == item[w: w + width]).sum(axis=1)
-            good = same_document & (hits >= width - misses)
-            for doc, n in zip(self.documents(starts[good]).tolist(), hits[good].tolist()):
+            good = within & (hits >= width - misses)
+            for doc, n in zip(docs[good].tolist(), hits[good].tolist()):
                 best[doc] = max(best.get(doc, 0), n)
         return best
 
