@@ -79,8 +79,11 @@ def pending(listing: DataFrame, manifest: DataFrame, key: str = "path", checksum
     whenever it has a key. Other columns of `listing` stay; those of the
     manifest, whatever their names, don't get in.
     """
-    done = manifest.select(F.col(key).alias("_done_key"), _sum_of(checksum).alias("_done_sum"))
-    same = (F.col(key) == F.col("_done_key")) & (_sum_of(checksum) == F.col("_done_sum"))
+    mark = "_done"
+    while any(c.lower().startswith(mark) for c in listing.columns):
+        mark = f"_{mark}"
+    done = manifest.select(F.col(key).alias(f"{mark}_key"), _sum_of(checksum).alias(f"{mark}_sum"))
+    same = (F.col(key) == F.col(f"{mark}_key")) & (_sum_of(checksum) == F.col(f"{mark}_sum"))
     return listing.where(F.col(key).isNotNull()).join(done, same, "left_anti")
 
 
