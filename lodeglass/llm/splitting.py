@@ -20,6 +20,7 @@ Works on byte ranges, so that an item may be larger than any worker's memory.
 from __future__ import annotations
 
 import bisect
+import io
 import re
 from collections.abc import Callable, Iterator
 
@@ -136,7 +137,7 @@ def scan_texts(items: DataFrame, keys: list[str], text_col: str, range_bytes: in
     hash. Null texts and null keys are left out.
     """
     kept = items.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, text_col]))
-    text = F.encode(F.col(text_col), "UTF-8")
+    text = F.col(text_col).cast("binary")
     delivery = F.concat_ws("-", F.lpad(F.octet_length(text).cast("string"), 12, "0"), F.hex(F.xxhash64(F.col(text_col))))
     source = kept.select(*keys, delivery.alias("delivery"), text.alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text") + ", " + TABLE_SCHEMA
@@ -361,13 +362,17 @@ def file_piece_texts(listing: DataFrame, pieces: DataFrame, range_bytes: int = R
     tables = scan_files(listing, range_bytes).select("path", "range_no", "lo", "n_lines", "first_offset").where("n_lines > 0")
     before = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = tables.withColumn("base", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
-    owner = pieces.join(placed, (pieces["path"] == placed["path"]) & F.col("first").between(F.col("base") + 1, F.col("base") + F.col("n_lines")))
-    work = owner.groupBy(pieces["path"], "range_no", "base", "first_offset").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("pieces"))
+    # both sides are cut at the same lines, so that a piece meets the few ranges near it, not all of its file
+    block = lambda line: F.floor(line / STRETCH_LINES)
+    held = placed.withColumn("_block", F.explode(F.sequence(block(F.col("base") + 1), block(F.col("base") + F.col("n_lines")))))
+    wanted = pieces.select("path", "first", "last", block(F.col("first")).alias("_block"))
+    owner = wanted.join(held, ["path", "_block"]).where(F.col("first").between(F.col("base") + 1, F.col("base") + F.col("n_lines")))
+    work = owner.groupBy("path", "range_no", "base", "first_offset").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("pieces"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, _, base, offset, wanted in pdf.itertuples(index=False):
-                with _opened(path) as f:
+                with io.BufferedReader(_opened(path)) as f:
                     f.seek(offset)
                     held, at = [], base + 1  # lines from `at` on, not yet passed by all pieces
                     for p in wanted:
