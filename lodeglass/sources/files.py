@@ -56,6 +56,36 @@ def taken(path: Column, size: Column, rules: ScanRules) -> Column:
     return ok
 
 
+def _dotted(spark: SparkSession, base: str, rules: ScanRules) -> tuple[list[str], list[tuple]]:
+    """Folders and files at the top that begin with a dot and may be taken; Spark's own listing leaves such names out."""
+    if rules.dotted == "never":
+        return [], []
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    wanted = [s for s in found if (n := s.getPath().getName()).startswith(".") and (n in rules.dotted_top if rules.dotted == "top" else n not in config.IGNORED_DIRECTORIES)]
+    folders = sorted(base + s.getPath().getName() for s in wanted if s.isDirectory())
+    return folders, [(base + s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in wanted if s.isFile()]
+
+
+def _read_files(spark: SparkSession, files: list[tuple]) -> DataFrame:
+    """The rows that Spark's binary source would give for these files (path, length, time in milliseconds)."""
+    import pandas as pd
+
+    def read(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            data = []
+            for path in pdf["path"]:
+                system, at = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+                with system.open_input_file(at) as f:
+                    data.append(f.read())
+            yield pd.DataFrame({"path": pdf["path"], "modificationTime": pd.to_datetime(pdf["ms"], unit="ms"), "length": pdf["length"], "content": data})
+
+    listed = spark.createDataFrame(files, "path string, length bigint, ms bigint")
+    return listed.mapInPandas(read, "path string, modificationTime timestamp, length bigint, content binary")
+
+
 def scan_tree(spark: SparkSession, root: str, rules: ScanRules = SEARCH_SCAN) -> DataFrame:
     """(root, path, content, size, modified) of the files of a tree that `rules` take.
 
@@ -63,13 +93,16 @@ def scan_tree(spark: SparkSession, root: str, rules: ScanRules = SEARCH_SCAN) ->
     pass. Undecodable bytes become replacement characters.
     """
     base = root.rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(base)
+    folders, dot_files = _dotted(spark, base, rules)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load([base, *folders])
+    if dot_files:
+        found = found.unionByName(_read_files(spark, dot_files))
     # whatever scheme Spark puts before it, the root ends where its own text ends
     relative = F.expr(f"substring_index(path, '{base.split('://')[-1].removeprefix('file:')}', -1)")
     return (
         found.withColumn("_rel", relative)
         .where(taken(F.col("_rel"), F.col("length"), rules))
-        .select(F.lit(root).alias("root"), F.col("_rel").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+        .select(F.lit(root).alias("root"), F.col("_rel").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     )
 
 

@@ -29,8 +29,8 @@ class KeyedTable:
     def _write(self, rows: DataFrame, deleted: bool) -> None:
         parts = self._parts()
         seq = parts[-1][0] + 1 if parts else 0
-        columns = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
-        kept = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in columns])
+        fields = self.spark.createDataFrame([], self.schema).schema
+        kept = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
         staged = f"{self.folder}/_staged-{uuid.uuid4().hex}"
         kept.withColumn("_deleted", F.lit(deleted)).withColumn("_seq", F.lit(seq).cast("bigint")).write.parquet(staged)
         if not self._fs.rename(self._path(staged), self._path(f"{self.folder}/part-{seq}")):
