@@ -87,8 +87,13 @@ def identifier_tokens(x: Column | str) -> Column:
 
 def document_terms(x: Column | str) -> Column:
     """All identifiers of a text with their parts, repeats kept, without short ones and stop words."""
-    names = F.filter(F.regexp_extract_all(_col(x), F.lit(r"([A-Za-z_]\w*)"), F.lit(1)), lambda m: F.length(m) >= 2)
-    return F.filter(F.flatten(F.transform(names, identifier_tokens)), lambda t: (F.length(t) >= 2) & ~t.isin(config.STOP_WORDS))
+    names = F.regexp_extract_all(_col(x), F.lit(r"([A-Za-z_]\w+)"), F.lit(1))
+
+    def tokens(name: Column) -> Column:
+        # most words have nothing to split, which one look tells
+        return F.when(name.rlike(r"^[A-Za-z][a-z0-9]*$"), F.array(F.lower(name))).otherwise(identifier_tokens(name))
+
+    return F.filter(F.flatten(F.transform(names, tokens)), lambda t: (F.length(t) >= 2) & ~t.isin(config.STOP_WORDS))
 
 
 def identifier_tokens_of(name: str) -> list[str]:

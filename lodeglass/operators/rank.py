@@ -29,11 +29,22 @@ def collection_stats(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(document_terms(text))).alias("avgdl"))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with more columns, computed once per row whatever is made of them.
+
+    A generator of one row stands between them and what follows; the optimizer
+    would else copy their expressions into every filter and use above.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", made)
+
+
 def _counted(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:
     """With _dl and _f, an array of the query terms' counts."""
-    tokens = document_terms(text)
-    counts = F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter(F.col("_t"), lambda x: x == t)))
-    return docs.withColumn("_t", tokens).withColumn("_dl", F.size("_t")).withColumn("_f", counts).drop("_t")
+    with_tokens = _once(docs, _t=document_terms(text))
+    hits = F.filter(F.col("_t"), lambda x: x.isin(terms))
+    with_hits = _once(with_tokens.select(*docs.columns, F.size("_t").alias("_dl"), hits.alias("_hits")), _f=F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter(F.col("_hits"), lambda x: x == t))))
+    return with_hits.drop("_hits")
 
 
 def _score(n: Column, avgdl: Column, dfs: list[Column], k1: float = config.K1, b: float = config.B) -> Column:

@@ -9,7 +9,7 @@ from lodeglass import config
 from lodeglass.functions.text import code_tokens, document_terms, lines_of, query_terms
 from lodeglass.operators import chunk, diff, graph, parse, rank, symbols
 from lodeglass.plans import sqltext as q
-from lodeglass.session import table
+from lodeglass.session import spread, table
 from lodeglass.sources.files import distinct_files, file_lines
 
 QUERY = "token budget of the retryQueue"
@@ -28,7 +28,7 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 # -- ranking -----------------------------------------------------------------
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return rank.document_frequencies(docs, "doc_id", "text")
 
 
@@ -37,7 +37,7 @@ def bm25_collection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_rank(spark: SparkSession, d: str) -> DataFrame:
-    return rank.ranked(table(spark, d, "documents"), "text", QUERY).select("doc_id", F.round("score", 6).alias("score"))
+    return rank.ranked(spread(table(spark, d, "documents").select("doc_id", "text")), "text", QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def chunk_rank(spark: SparkSession, d: str) -> DataFrame:

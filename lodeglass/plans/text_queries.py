@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeglass.functions import text
 from lodeglass.operators import chunk, projectmap, search
 from lodeglass.plans import sqltext as q
-from lodeglass.session import table
+from lodeglass.session import spread, table
 from lodeglass.sources.files import distinct_files, file_lines, file_records
 
 PATTERN = r"\b(?:token|budget)s?\b"
@@ -72,7 +72,7 @@ def identifier_tokens(spark: SparkSession, d: str) -> DataFrame:
 def document_terms(spark: SparkSession, d: str) -> DataFrame:
     from lodeglass.operators.rank import term_table
 
-    return term_table(_docs(spark, d), "doc_id", "text")
+    return term_table(spread(_docs(spark, d).select("doc_id", "text")), "doc_id", "text")
 
 
 def file_summary(spark: SparkSession, d: str) -> DataFrame:

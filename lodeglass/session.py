@@ -62,6 +62,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if small else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan, over as many partitions as there are cores if it comes in fewer.
+
+    For costly row-wise work on input that is small or in one file. At scale a
+    scan has many partitions, and nothing is shuffled. Meant for plain scans:
+    counting the partitions of a plan with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    few = scan._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return scan.repartition(cores) if few else scan
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
