@@ -105,66 +105,81 @@ def logged_at(kind: Column, raw: Column, path: Column) -> Column:
 
 
 def _matched(line: Column, layout: tuple[str, str, str, str]) -> Column:
-    """STRUCT(kind, t, l, c, m) of a line that fits the layout, else null. One pass of the pattern per use."""
-    name, kind, pattern, order = layout
-    joined = F.regexp_replace(line, f"(?s){pattern}", "\u0001".join(f"${k + 1}" for k in range(4)))
-    parts = F.split(joined, "\u0001", 4)
-    got = {g: F.get(parts, k) for k, g in enumerate(order)}
-    found = F.struct(F.lit(kind).alias("kind"), *[got[g].alias(g) for g in "tlcm"])
-    return F.when(line.rlike(f"(?s){pattern}"), found)
-
-
-def _keyed(value) -> Column:
-    """STRUCT of a line whose fields are looked up by key; null without a time."""
-    t = F.coalesce(*[value(k) for k in TIME_KEYS])
-    kind = F.when(t.rlike(r"^\d{9,13}(\.\d+)?$"), "epoch").when(t.rlike(f"^{_DAY}[T ]{_CLOCK}{_FRACTION}{_ZONE}$"), "iso")
-    fields = [_first([value(k) for k in keys]).alias(g) for g, keys in (("l", LEVEL_KEYS), ("c", COMPONENT_KEYS), ("m", MESSAGE_KEYS))]
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), t.alias("t"), *fields))
+    """ARRAY(kind, t, l, c, m) of a line that fits the layout, else null; the pattern runs once.
+
+    A line that fits becomes its fields with marks between them, which no cleaned line holds.
+    """
+    _, kind, pattern, order = layout
+    wanted = "\u0001".join([kind, *(f"${order.index(g) + 1}" for g in "tlcm")])
+    joined = F.regexp_replace(line, f"(?s){pattern}", wanted)
+    return F.when(joined.contains("\u0001"), F.split(joined, "\u0001", 5))
 
 
-def header(line: Column) -> Column:
-    """STRUCT(kind, t, l, c, m) of a line that starts an entry, else null."""
+def _json_record(line: Column) -> Column:
     keys = TIME_KEYS + LEVEL_KEYS + COMPONENT_KEYS + MESSAGE_KEYS
-    record = F.from_json(line, ", ".join(f"`{k}` string" for k in keys))
-    json = F.when(line.startswith("{"), _keyed(lambda k: record[k]))
+    return F.when(line.startswith("{"), F.from_json(line, ", ".join(f"`{k}` string" for k in keys)))
+
+
+def _keyed_fields(line: Column, record: Column) -> Column:
+    """ARRAY(t, l, c, m) of a JSON line, given its record, or of a line of key=value pairs with a time; else null."""
+
+    def pair(key: str) -> Column:
+        found = F.regexp_extract(line, rf'(?:^|\s){key}=("(?:[^"\\]|\\.)*"|[^\s"]+)', 1)
+        return F.nullif(F.regexp_replace(found, '^"|"$', ""), F.lit(""))
 
-    def value(key: str) -> Column:
-        quoted = F.regexp_extract(line, rf'(?:^|\s){key}="((?:[^"\\]|\\.)*)"', 1)
-        plain = F.regexp_extract(line, rf'(?:^|\s){key}=([^\s"]+)', 1)
-        return F.nullif(F.when(quoted != "", quoted).otherwise(plain), F.lit(""))
+    def fields(value) -> Column:
+        t = F.coalesce(*[value(k) for k in TIME_KEYS])
+        return F.array(t, *[_first([value(k) for k in keys]) for keys in (LEVEL_KEYS, COMPONENT_KEYS, MESSAGE_KEYS)])
 
-    pairs = F.when(line.rlike(r'^\w+=(?:"|\S)') & line.rlike(r"(?:^|\s)(?:" + "|".join(TIME_KEYS) + ")="), _keyed(value))
-    cascade = [_matched(line, x) for x in LAYOUTS]
-    return F.when(line.rlike(r"^[^\s}]") & line.rlike(r"\d{2}"), F.coalesce(*cascade, json, pairs))
+    pairs = line.rlike(r"^\w+=") & line.rlike(r"(?:^|\s)(?:" + "|".join(TIME_KEYS) + ")=")
+    return F.when(line.startswith("{"), F.when(record.isNotNull(), fields(lambda k: record[k]))).when(pairs, fields(pair))
+
+
+def _with_kind(fields: Column) -> Column:
+    """ARRAY(kind, t, l, c, m) of ARRAY(t, l, c, m); null if the time is none."""
+    t = fields[0]
+    kind = F.when(t.rlike(r"^\d{9,13}(\.\d+)?$"), "epoch").when(t.rlike(f"^{_DAY}[T ]{_CLOCK}{_FRACTION}{_ZONE}$"), "iso")
+    return F.when(kind.isNotNull(), F.concat(F.array(kind), fields))
 
 
 def clean_line(line: Column) -> Column:
-    """Without byte order mark, colour codes and a carriage return at the end."""
-    return F.regexp_replace(line, "^\ufeff|\u001b\\[[0-9;]*m|\r+$", "")
+    """Without byte order mark, colour codes, a carriage return at the end, and the sign that marks fields here."""
+    return F.regexp_replace(line, "^\ufeff|\u001b\\[[0-9;]*m|\u0001|\r+$", "")
+
+
+#: Fields of a header, in the order in which the cascade gives them.
+HEAD = ["kind", "t", "l", "c", "m"]
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """(path, line_no, line, head): `head` is null for a line that starts no entry."""
-    text = clean_line(F.col("line"))
-    return lines.where("path IS NOT NULL AND line_no IS NOT NULL").select(
-        "path", F.col("line_no").cast("bigint").alias("line_no"), F.coalesce(text, F.lit("")).alias("line"), header(text).alias("head")
-    )
+    """(path, line_no, line, kind, t, l, c, m): `kind` is null for a line that starts no entry."""
+    kept = lines.where("path IS NOT NULL AND line_no IS NOT NULL").select("path", F.col("line_no").cast("bigint").alias("line_no"), clean_line(F.coalesce("line", F.lit(""))).alias("line"))
+    line = F.col("line")
+    start = line.rlike(r"^[^\s}]") & line.rlike(r"\d{2}")
+    # step by step, so that each record is parsed and each pattern run once whatever refers to it
+    recorded = kept.withColumn("_j", _json_record(line))
+    keyed = recorded.select("path", "line_no", "line", F.when(start, _keyed_fields(line, F.col("_j"))).alias("_k"))
+    cascade = F.when(start & ~line.startswith("{"), F.coalesce(*[_matched(line, x) for x in LAYOUTS]))
+    headed = keyed.select("path", "line_no", "line", F.coalesce(_with_kind(F.col("_k")), cascade).alias("_h"))
+    return headed.select("path", "line_no", "line", *[F.get("_h", F.lit(k)).alias(g) for k, g in enumerate(HEAD)])
 
 
 def entry_lines(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """(path, line_no, line, head, stretch, start_no): each line with the start it belongs to within its stretch.
+    """(path, line_no, line, kind, t, l, c, m, stretch, start_no): each line with the start it belongs to within its stretch.
 
     `start_no` is null before the first start of a stretch. A line delivered
-    again counts once (of differing texts the least).
+    again counts once (of differing texts the one with the least hash).
     """
-    within = Window.partitionBy("path", "stretch").orderBy("line_no", "line")
+    # ordered by hash, not by text, so that a result without messages shuffles no texts
+    within = Window.partitionBy("path", "stretch").orderBy("line_no", "_tie")
     return (
         parsed_lines(lines)
-        .withColumn("stretch", F.floor(F.col("line_no") / stretch))
+        .withColumn("stretch", F.expr(f"line_no div {int(stretch)}"))
+        .withColumn("_tie", F.xxhash64("line"))
         .withColumn("_before", F.lag("line_no").over(within))
         .where("_before IS NULL OR _before <> line_no")
-        .drop("_before")
-        .withColumn("start_no", F.last(F.when(F.col("head").isNotNull(), F.col("line_no")), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("start_no", F.last(F.when(F.col("kind").isNotNull(), F.col("line_no")), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        .drop("_before", "_tie")
     )
 
 
@@ -179,15 +194,12 @@ def log_entries(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
     component are empty text where the entry states none, `logged_at` is null
     where its time names no moment. Other columns of `lines` are ignored.
     """
-    text = F.when(F.col("line_no") == F.col("start_no"), F.col("head.m")).otherwise(F.col("line"))
+    text = F.when(F.col("line_no") == F.col("start_no"), F.col("m")).otherwise(F.col("line"))
+    head = [F.first(g, ignorenulls=True).alias(g) for g in HEAD if g != "m"]
     parts = (
         entry_lines(lines, stretch)
         .groupBy("path", "stretch", "start_no")
-        .agg(
-            F.max("line_no").alias("end_no"),
-            F.first("head", ignorenulls=True).alias("head"),
-            F.sort_array(F.collect_list(F.struct("line_no", text.alias("text")))).alias("texts"),
-        )
+        .agg(F.max("line_no").alias("end_no"), *head, F.sort_array(F.collect_list(F.struct("line_no", text.alias("text")))).alias("texts"))
     )
     in_stretch = Window.partitionBy("path", "stretch")
     # What crosses the end of a stretch: its last entry, and the lines before its first start. At most two rows a
@@ -200,20 +212,16 @@ def log_entries(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
         .withColumn("entry", F.last("start_no", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .where("entry IS NOT NULL")
         .groupBy("path", "seam", "entry")
-        .agg(
-            F.max("end_no").alias("end_line_no"),
-            F.first("head", ignorenulls=True).alias("head"),
-            F.sort_array(F.collect_list(F.struct("stretch", "texts"))).alias("texts"),
-        )
+        .agg(F.max("end_no").alias("end_line_no"), *head, F.sort_array(F.collect_list(F.struct("stretch", "texts"))).alias("texts"))
     )
     message = F.array_join(F.transform(F.flatten(F.col("texts.texts")), lambda x: x["text"]), "\n")
     return whole.select(
         "path",
         F.col("entry").alias("line_no"),
         "end_line_no",
-        logged_at(F.col("head.kind"), F.col("head.t"), F.col("path")).alias("logged_at"),
-        canonical_level(F.col("head.l")).alias("level"),
-        F.coalesce(F.col("head.c"), F.lit("")).alias("component"),
+        logged_at(F.col("kind"), F.col("t"), F.col("path")).alias("logged_at"),
+        canonical_level(F.col("l")).alias("level"),
+        F.coalesce(F.col("c"), F.lit("")).alias("component"),
         message.alias("message"),
     )
 
@@ -226,11 +234,11 @@ def scanned_entries(found: DataFrame, lines: DataFrame, stretch: int = STRETCH)
     path, line_no, guessed_level, entry_line_no, logged_at, level, component.
     """
     each = found.where("path IS NOT NULL AND line_no IS NOT NULL").groupBy("path", "line_no").agg(F.max("level").alias("guessed_level"))
-    each = each.withColumn("stretch", F.floor(F.col("line_no") / stretch))
+    each = each.withColumn("stretch", F.expr(f"line_no div {int(stretch)}"))
     entries = log_entries(lines, stretch).drop("message")
     # an entry is offered to every stretch that it touches, so that the join has an equality
     offered = entries.withColumnRenamed("line_no", "entry_line_no").withColumn(
-        "stretch", F.explode(F.sequence(F.floor(F.col("entry_line_no") / stretch), F.floor(F.col("end_line_no") / stretch)))
+        "stretch", F.explode(F.sequence(F.expr(f"entry_line_no div {int(stretch)}"), F.expr(f"end_line_no div {int(stretch)}")))
     )
     inside = F.col("line_no").between(F.col("entry_line_no"), F.col("end_line_no"))
     return (
@@ -241,6 +249,6 @@ def scanned_entries(found: DataFrame, lines: DataFrame, stretch: int = STRETCH)
 
 def layouts_seen(lines: DataFrame) -> DataFrame:
     """(kind, n): how many starts each kind of time accounts for."""
-    heads = parsed_lines(lines).where("head IS NOT NULL")
-    return heads.groupBy(F.col("head.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    heads = parsed_lines(lines).where("kind IS NOT NULL")
+    return heads.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
