@@ -79,29 +79,27 @@ def logged_at(kind: Column, raw: Column, path: Column) -> Column:
 
     Free of the session's time zone: all arithmetic is on TIMESTAMP_NTZ.
     """
+    sub = lambda start, n: F.substring(raw, start, n)
     month = lambda name: F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(name)).cast("string"), 2, "0")
-    part = lambda pattern, k=1: F.regexp_extract(raw, pattern, k)
-    clock = part(rf"(?<!\d)({_CLOCK})")
     year = F.regexp_extract(path, r"(?:^|\D)((?:19|20)\d{2})(?:\D|$)", 1)
-    dotted = r"^(\d{2})\.(\d{2})\.(\d{4})"
-    clf = r"^(\d{2})/(\w{3})/(\d{4})"
-    syslog = r"^(\w{3})\s+(\d{1,2})"
-    day = (
-        F.when(kind == "iso", part(f"^({_DAY})"))
-        .when(kind == "dmy", F.concat_ws("-", part(dotted, 3), part(dotted, 2), part(dotted, 1)))
-        .when(kind == "clf", F.concat_ws("-", part(clf, 3), month(part(clf, 2)), part(clf, 1)))
-        .when(kind == "mdc", F.concat_ws("-", year, month(part(syslog, 1)), F.lpad(part(syslog, 2), 2, "0")))
-        .when(kind == "mmdd", F.concat_ws("-", year, part(r"^(\d{2})"), part(r"^\d{2}(\d{2})")))
-    )
-    zone = part(rf"{_CLOCK}{_FRACTION}\s?([+-]\d{{2}}:?\d{{2}})$")
-    local = F.concat_ws(" ", day, clock).try_cast("timestamp_ntz")
-    moved = F.expr("INTERVAL '1' MINUTE") * _offset_minutes(zone)
-    number = F.split_part(raw, F.lit("."), F.lit(1)).try_cast("bigint")
-    seconds = F.when(F.length(F.split_part(raw, F.lit("."), F.lit(1))) >= 12, F.floor(number / 1000)).otherwise(number)
+    clock = F.regexp_extract(raw, rf"(?<!\d)({_CLOCK})", 1)
+    # the layouts fix where the parts of most times stand
+    local = (
+        F.when(kind == "iso", F.concat(sub(1, 10), F.lit(" "), sub(12, 8)))
+        .when(kind == "dmy", F.concat(sub(7, 4), F.lit("-"), sub(4, 2), F.lit("-"), sub(1, 2), F.lit(" "), clock))
+        .when(kind == "clf", F.concat(sub(8, 4), F.lit("-"), month(sub(4, 3)), F.lit("-"), sub(1, 2), F.lit(" "), sub(13, 8)))
+        .when(kind == "mdc", F.concat(year, F.lit("-"), month(sub(1, 3)), F.lit("-"), F.lpad(F.regexp_extract(raw, r"^\w{3}\s+(\d{1,2})", 1), 2, "0"), F.lit(" "), clock))
+        .when(kind == "mmdd", F.concat(year, F.lit("-"), sub(1, 2), F.lit("-"), sub(3, 2), F.lit(" "), clock))
+    ).try_cast("timestamp_ntz")
+    zone = F.when(kind == "iso", F.regexp_extract(F.substring(raw, 20, 100), r"([+-]\d{2}:?\d{2})$", 1)).when(kind == "clf", F.trim(F.substring(raw, 21, 100)))
+    moved = F.when(F.coalesce(zone, F.lit("")) == "", local).otherwise(local - F.expr("INTERVAL '1' MINUTE") * _offset_minutes(zone))
+    whole = F.split_part(raw, F.lit("."), F.lit(1))
+    number = whole.try_cast("bigint")
+    seconds = F.when(F.length(whole) >= 12, F.floor(number / 1000)).otherwise(number)
     # beyond these bounds (years 0001 to 9999) no text of this form exists
     seconds = F.when(seconds.between(-62135596800, 253402300799), seconds)
     epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.expr("INTERVAL '1' SECOND") * seconds
-    return F.substring(F.when(kind == "epoch", epoch).otherwise(local - moved).cast("string"), 1, 19)
+    return F.substring(F.when(kind == "epoch", epoch).otherwise(moved).cast("string"), 1, 19)
 
 
 def _matched(line: Column, layout: tuple[str, str, str, str]) -> Column:
