@@ -95,7 +95,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WEIGHTS = """
-rec AS (SELECT id, max(t) AS t FROM (
+rec AS (SELECT id, arg_max(t, (len(t), t)) AS t FROM (
           SELECT id, list_filter(list_transform(tokens, lambda x: lower(x)), lambda x: x IS NOT NULL AND x <> '') AS t
           FROM bm25_documents WHERE id IS NOT NULL) WHERE len(t) > 0 GROUP BY id),
 stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM rec),

@@ -18,7 +18,7 @@ def brute(records):
     for i, t in records:
         if i is not None:
             t = [x.lower() for x in t or [] if x]
-            docs[i] = max(docs.get(i, []), t)
+            docs[i] = max(docs.get(i, []), t, key=lambda x: (len(x), x))
     docs = {i: t for i, t in docs.items() if t}
     n, avg = len(docs), sum(map(len, docs.values())) / max(1, len(docs))
     df = Counter(x for t in docs.values() for x in set(t))
