@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from lodeglass.session import spread
+
 MIN_WORDS = 12
 #: Characters of text in one index segment.
 SEGMENT_CHARS = 8 << 20
@@ -155,7 +157,7 @@ def find_passages(
     """
     if not 0 <= misses < min_words:
         raise ValueError("0 <= misses < min_words must hold")
-    docs = documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(doc_col, text_col)
+    docs = spread(documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(doc_col, text_col))
     kind = lambda df, c: next(f.dataType for f in df.schema if f.name == c)
     schema = StructType([StructField(doc_col, kind(documents, doc_col)), StructField(item_col, kind(items, item_col))])
     schema = schema.add("matched", IntegerType())

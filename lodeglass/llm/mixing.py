@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeglass.session import spread
+
 #: Rank file of the tokenizer; a parameter everywhere.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the rank files' vocabulary splits text before merging.
@@ -64,7 +66,7 @@ def source_key(source: Column | str) -> Column:
 
 def sized_documents(documents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranks: str = RANKS) -> DataFrame:
     """(doc_id, source, tokens)."""
-    return documents.select(F.col(doc_col).alias("doc_id"), source_key(source_col).alias("source"), count_tokens(text_col, ranks).alias("tokens"))
+    return spread(documents.select(doc_col, text_col, source_col)).select(F.col(doc_col).alias("doc_id"), source_key(source_col).alias("source"), count_tokens(text_col, ranks).alias("tokens"))
 
 
 @dataclass(frozen=True)

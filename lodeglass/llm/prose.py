@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeglass.llm.prose_stats import NAMES, statistics
-from lodeglass.session import cut_lineage
+from lodeglass.session import cut_lineage, spread
 
 N = len(NAMES)
 #: Common words and labels read to the driver at most; both are hand-made tables.
@@ -70,9 +70,8 @@ def text_statistics(documents: DataFrame, words: DataFrame, doc_col: str = "doc_
             yield pd.DataFrame(rows, columns=[doc_col, "language", "stats"])
 
     kind = documents.schema[doc_col].dataType.simpleString()
-    return documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(doc_col, text_col, lang_col).mapInPandas(
-        measure, f"`{doc_col}` {kind}, language string, stats array<double>"
-    )
+    kept = spread(documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(doc_col, text_col, lang_col))
+    return kept.mapInPandas(measure, f"`{doc_col}` {kind}, language string, stats array<double>")
 
 
 @dataclass(frozen=True)

@@ -82,7 +82,7 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d).where("NOT is_prose").select("doc_id")
+    return _judged(spark, d).where("NOT is_prose").select("doc_id").distinct()
 
 
 def p8_contributions(spark: SparkSession, d: str) -> DataFrame:
