@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeglass.session import spread
+
 #: Lines of a file that one window handles at most (by line number).
 STRETCH = 1 << 14
 
@@ -151,7 +153,8 @@ HEAD = ["kind", "t", "l", "c", "m"]
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
     """(path, line_no, line, kind, t, l, c, m): `kind` is null for a line that starts no entry."""
-    kept = lines.where("path IS NOT NULL AND line_no IS NOT NULL").select("path", F.col("line_no").cast("bigint").alias("line_no"), clean_line(F.coalesce("line", F.lit(""))).alias("line"))
+    raw = spread(lines.where("path IS NOT NULL AND line_no IS NOT NULL").select("path", "line_no", "line"))
+    kept = raw.select("path", F.col("line_no").cast("bigint").alias("line_no"), clean_line(F.coalesce("line", F.lit(""))).alias("line"))
     line = F.col("line")
     start = line.rlike(r"^[^\s}]") & line.rlike(r"\d{2}")
     # step by step, so that each record is parsed and each pattern run once whatever refers to it

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeglass import config
 from lodeglass.functions.text import code_tokens, document_terms, lines_of, query_terms
 from lodeglass.operators import chunk, diff, graph, parse, rank, symbols
+from lodeglass.plans import samples
 from lodeglass.plans import sqltext as q
 from lodeglass.session import spread, table
 from lodeglass.sources.files import distinct_files, file_lines
@@ -17,7 +18,7 @@ KEYS = ["root", "path"]
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_files(table(spark, d, "code_files"))
+    return distinct_files(table(spark, d, "code_files").select("root", "path", "content").unionByName(samples.frame(spark)))
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
@@ -100,14 +101,21 @@ def extract_imports(spark: SparkSession, d: str) -> DataFrame:
     return graph.import_edges(_code(spark, d), KEYS)
 
 
+def unit_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many functions and free classes each script and Python file has."""
+    units = chunk.index_chunks(_code(spark, d).where("language IN ('typescript', 'javascript', 'python')"), KEYS).where("chunk_type <> 'block'")
+    return units.groupBy(*KEYS, "chunk_type").agg(F.count(F.lit(1)).alias("n"), F.sum("start_line").alias("starts"), F.sum("end_line").alias("ends"))
+
+
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     found = chunk.index_chunks(_code(spark, d), KEYS)
     return found.select(*KEYS, "chunk_no", "start_line", "end_line", "chunk_type", "identifier", F.md5("text").alias("digest"))
 
 
 def function_extract(spark: SparkSession, d: str) -> DataFrame:
-    found = chunk.extract_by_name(chunk.index_chunks(_code(spark, d), KEYS), "parseQuery", KEYS)
-    return found.select(*KEYS, "chunk_no", "start_line", "end_line", "identifier")
+    code = _code(spark, d).where("language IN ('typescript', 'javascript', 'python')")
+    found = chunk.extract_by_name(chunk.index_chunks(code, KEYS), "reset", KEYS)
+    return found.select(*KEYS, "start_line", "end_line", "identifier")
 
 
 # -- symbols -----------------------------------------------------------------
@@ -262,6 +270,17 @@ def _indent(pattern: str) -> str:
     FROM h JOIN l ON h.root = l.root AND h.path = l.path AND n >= h0 AND n < h0 + 300 GROUP BY h.root, h.path, name, h0"""
 
 
+def _classes(spans: str, language: str, method: str, barred: list[str], distinct: bool) -> str:
+    """Class spans with the names of their methods, in order; each once where `distinct`."""
+    bars = ", ".join(f"'{x}'" for x in ["", *barred])
+    names = f"SELECT s.root, s.path, s.name, s.start_line, l.n, regexp_extract(l.line, '{method}', 1) AS m FROM s JOIN l ON s.root = l.root AND s.path = l.path AND l.n BETWEEN s.start_line AND s.end_line"
+    once = "QUALIFY row_number() OVER (PARTITION BY root, path, start_line, m ORDER BY n) = 1" if distinct else ""
+    return f"""
+    WITH s AS (SELECT * FROM ({spans})), {q.CF}, l AS ({q.lines("(SELECT * FROM cf WHERE " + q.language("path") + f" IN ({language}))", "root, path")}),
+    m AS (SELECT * FROM ({names}) WHERE m NOT IN ({bars}) {once})
+    SELECT s.root, s.path, s.name, s.start_line, s.end_line, coalesce((SELECT string_agg(m.m, ',' ORDER BY m.n) FROM m WHERE m.root = s.root AND m.path = s.path AND m.start_line = s.start_line), '') AS methods FROM s"""
+
+
 _IMPORTS = f"""
 il AS ({q.lines("src", "root, path, language")}),
 it AS (SELECT root, path, n, CASE
@@ -286,7 +305,7 @@ QUERIES = {
     "bm25_stats": bm25_stats, "bm25_collection": bm25_collection, "bm25_rank": bm25_rank, "chunk_rank": chunk_rank, "chunk_rerank": chunk_rerank, "smart_read": smart_read, "budget_pack": budget_pack,
     "extract_functions_ts": extract_functions_ts, "extract_classes_ts": extract_classes_ts, "extract_interfaces_types": extract_interfaces_types,
     "extract_functions_py": extract_functions_py, "extract_classes_py": extract_classes_py, "extract_generic_sigs": extract_generic_sigs,
-    "extract_imports": extract_imports, "semantic_chunks": semantic_chunks, "function_extract": function_extract, "symbol_catalogue": symbol_catalogue,
+    "extract_imports": extract_imports, "unit_counts": unit_counts, "semantic_chunks": semantic_chunks, "function_extract": function_extract, "symbol_catalogue": symbol_catalogue,
     "symbol_find": symbol_find, "symbol_outline": symbol_outline, "symbol_stats": symbol_stats, "incremental_index": incremental_index,
     "link_in_degree": link_in_degree, "link_sources": link_sources, "most_imported": most_imported, "resolve_imports": resolve_imports, "reach_depth2": reach_depth2,
     "line_diff": line_diff, "line_diff_counts": line_diff_counts, "diff_hunks": diff_hunks,
@@ -309,12 +328,23 @@ ORACLES = {
     + _PACK.format(g="source", o="tokens DESC, doc_id", t="s", m=20_000),
     "extract_functions_ts": _brace(parse.BRACE_FUNCTIONS, config.NO_FUNCTION),
     "extract_functions_py": _indent(parse.INDENT_FUNCTION),
+    "extract_classes_ts": _classes(_brace([parse.BRACE_CLASS], []), "'typescript', 'javascript'", parse.BRACE_METHOD, config.NO_FUNCTION, True),
+    "extract_classes_py": _classes(_indent(parse.INDENT_CLASS), "'python'", parse.INDENT_METHOD, [], False),
+    "unit_counts": f"""
+        WITH f AS (SELECT * FROM ({_brace(parse.BRACE_FUNCTIONS, config.NO_FUNCTION)}) UNION ALL SELECT * FROM ({_indent(parse.INDENT_FUNCTION)})),
+        c AS (SELECT * FROM ({_brace([parse.BRACE_CLASS], [])}) UNION ALL SELECT * FROM ({_indent(parse.INDENT_CLASS)})),
+        u AS (SELECT *, 'function' AS chunk_type FROM f UNION ALL
+              SELECT *, 'class' FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.root = c.root AND f.path = c.path AND f.start_line <= c.start_line AND f.end_line >= c.end_line)
+                AND NOT EXISTS (SELECT 1 FROM c x WHERE x.root = c.root AND x.path = c.path AND x.start_line < c.start_line AND x.end_line >= c.end_line))
+        SELECT root, path, chunk_type, count(*) AS n, sum(start_line)::BIGINT AS starts, sum(end_line)::BIGINT AS ends FROM u GROUP BY ALL""",
     "extract_interfaces_types": f"WITH {q.CF}, {_SRC}, l AS ({q.lines('src', 'root, path, language')}), k(kind, p) AS (VALUES "
     + ", ".join(f"('{k}', '{p}')" for k, p in (("interface", parse.INTERFACE), ("type", parse.TYPE), ("enum", parse.ENUM)))
     + ") SELECT root, path, kind, regexp_extract(line, p, 1) AS name, n::INT AS line FROM l, k WHERE language IN ('typescript', 'javascript') AND regexp_matches(line, p)",
     "extract_generic_sigs": f"WITH {q.CF}, {_SRC}, l AS ({q.lines('src', 'root, path, language')}), g AS (SELECT root, path, n, {q.trim('line')} AS signature FROM l WHERE language NOT IN ('typescript', 'javascript', 'python') AND {_SIG})"
     " SELECT root, path, (row_number() OVER (PARTITION BY root, path ORDER BY n) - 1)::INT AS position, signature FROM g QUALIFY position < 50",
     "extract_imports": f"WITH {q.CF}, {_SRC}, {_IMPORTS} SELECT * FROM ie",
+    "function_extract": f"""SELECT root, path, start_line, end_line, name AS identifier FROM ({_brace(parse.BRACE_FUNCTIONS, config.NO_FUNCTION)}
+        UNION ALL SELECT * FROM ({_indent(parse.INDENT_FUNCTION)})) WHERE lower(name) = 'reset' QUALIFY row_number() OVER (PARTITION BY root, path ORDER BY start_line) = 1""",
     "link_in_degree": f"WITH {q.CF}, {_SRC}, {_IMPORTS} SELECT target, count(*) AS degree FROM ie GROUP BY target",
     "link_sources": f"WITH {q.CF}, {_SRC}, {_IMPORTS} SELECT target, string_agg(DISTINCT root || '/' || path, ',' ORDER BY root || '/' || path) AS sources FROM ie GROUP BY target",
     "most_imported": f"WITH {q.CF}, {_SRC}, {_IMPORTS} SELECT target, count(*) AS degree FROM ie GROUP BY target ORDER BY degree DESC, target LIMIT 20",

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from lodeglass import config
+from lodeglass.plans import samples
 
 BLANKS = r"e' \t\r\n\f\x0b'"
-CF = r"cf AS (SELECT root, path, regexp_replace(max(content), '^\x{FEFF}', '') AS content FROM code_files WHERE path IS NOT NULL AND content IS NOT NULL GROUP BY root, path)"
+CF = (
+    r"cf AS (SELECT root, path, regexp_replace(max(content), '^\x{FEFF}', '') AS content FROM (SELECT root, path, content FROM code_files UNION ALL ("
+    + samples.sql_values() + ")) WHERE path IS NOT NULL AND content IS NOT NULL GROUP BY root, path)"
+)
 
 
 def trim(x: str) -> str:

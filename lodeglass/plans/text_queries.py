@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeglass.functions import text
 from lodeglass.operators import chunk, projectmap, search
+from lodeglass.plans import samples
 from lodeglass.plans import sqltext as q
 from lodeglass.session import spread, table
 from lodeglass.sources.files import distinct_files, file_lines, file_records
@@ -19,7 +20,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_files(table(spark, d, "code_files"))
+    return distinct_files(table(spark, d, "code_files").select("root", "path", "content").unionByName(samples.frame(spark)))
 
 
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:

@@ -63,15 +63,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan, over as many partitions as there are cores if it comes in fewer.
+    """A scan, over as many partitions as there are cores if it comes in fewer; anything that shuffles as it is.
 
     For costly row-wise work on input that is small or in one file. At scale a
-    scan has many partitions, and nothing is shuffled. Meant for plain scans:
-    counting the partitions of a plan with shuffles would run them.
+    scan has many partitions, and nothing is shuffled.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    few = scan._jdf.queryExecution().toRdd().getNumPartitions() < cores
-    return scan.repartition(cores) if few else scan
+    query, cores = scan._jdf.queryExecution(), scan.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in query.executedPlan().toString() or query.toRdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
