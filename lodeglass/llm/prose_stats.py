@@ -12,6 +12,9 @@ NAMES = [
     "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "common_run", "words_per_unit", "flow_share", "closed_share", "opaque_share",
 ]
 
+#: Widths between which text is taken to be wrapped: narrower blocks are lists, wider lines whole paragraphs.
+NARROWEST, WIDEST = 34, 120
+
 # Signs that stand in sentences of the four languages.
 _SENTENCE_SIGNS = r"\w\s.,;:!?'\"’‘“”„«»‹›()¿¡…–—/-"
 _HARD = re.compile(rf"[^{_SENTENCE_SIGNS}]")
@@ -22,6 +25,7 @@ _COLUMNS = re.compile(r"\S(?: {3,}|\t+)\S")
 _TIGHT_COMMA = re.compile(r"[^\s,;],[^\s\d]")
 _STAMP = re.compile(r"^(?:.{0,38}?\b\d\d?:\d\d:\d\d|[\[{(<]?\w?\d{4}[-/.\d]|\d{9,}|\w+=|[{\[<])")
 _INDEX = re.compile(r"^\d+(?:\.\d+)*\s.*\s\d+$|(?<!\.)\.{4,}+\s*+\d+$")
+_CODE = re.compile(r"[()\[\]{}=<>]")
 _TRIM = ".,;:!?\"'()[]{}<>«»“”„‘’…¿¡`*_–—-"
 _CLOSE = tuple(".!?:…\"”»)")
 _STOP = tuple(".!?…")
@@ -38,6 +42,10 @@ def _bare(token: str) -> str:
 def _wrapped(block: list[str]) -> bool:
     """Whether nearly every line break of a block falls where the next word wouldn't have fitted."""
     width = max(map(len, block))
+    if width < NARROWEST:
+        return False
+    if 2 * sum(bool(_CODE.search(x)) or x.endswith(("'", '"', ";")) for x in block) >= len(block):
+        return False
     # marks that were taken off the lines may have had different widths
     forced = sum(len(a) + 1 + len(b.split(None, 1)[0]) > width - 3 for a, b in zip(block, block[1:]))
     words = sum(len(x.split()) for x in block)
@@ -45,11 +53,11 @@ def _wrapped(block: list[str]) -> bool:
 
 
 def units(text: str) -> Iterator[tuple[str, str]]:
-    """Paragraphs, unwrapped, and single lines; kind is ``text``, ``item`` (a line of a block that isn't wrapped) or ``broken`` (laid out)."""
+    """Paragraphs, unwrapped, and single lines; kind is ``text``, ``item`` (a line that stands for itself) or ``broken`` (laid out)."""
     block: list[str] = []
 
     def flush() -> Iterator[tuple[str, str]]:
-        if len(block) > 1 and not _wrapped(block):
+        if len(block) == 1 or block and not _wrapped(block):
             yield from ((x, "item") for x in block)
         elif block:
             yield " ".join(block), "text"
@@ -62,20 +70,27 @@ def units(text: str) -> Iterator[tuple[str, str]]:
         elif _STAMP.match(plain) or _COLUMNS.search(plain) or _TIGHT_COMMA.search(plain):
             yield from flush()
             yield plain, "broken"
+        elif len(plain) > WIDEST:
+            yield from flush()
+            yield plain, "text"
         else:
             block.append(plain)
+            if plain.endswith(":") and plain.count(" ") >= 4 and not _CODE.search(plain):  # what it announces is a block of its own
+                yield from flush()
     yield from flush()
 
 
 def _is_flow(unit: str, kind: str, tokens: list[str], bare: list[str], wordlike: int, shared: int) -> bool:
     """Whether a unit reads as sentences; `shared` counts the common words of the language that has most of them in it."""
     n = len(tokens)
-    if n < 6 or kind == "item" and n < 9 and not unit.endswith(_STOP):
+    if n < 6 or kind == "item" and n < 9 and not unit.endswith((*_STOP, ":")):
         return False
     if kind == "broken" and _STAMP.match(unit) or _INDEX.search(unit) or _COLUMNS.search(unit) or len(_TIGHT_COMMA.findall(unit)) >= 2:
         return False
-    # names crowd the common words out of technical sentences, which then show by their full stops
-    least = 0.0 if sum(t.endswith(_STOP) for t in tokens) >= n / 40 else 0.05 * n
+    # names crowd the common words out of technical sentences, which then show by the names or by their full stops
+    names = sum("_" in w or "/" in w for w in bare)
+    technical = n >= 12 and 0.1 * n <= names <= 0.6 * n
+    least = 0.0 if technical or sum(t.endswith(_STOP) for t in tokens) >= n / 40 else 0.05 * n
     if not (wordlike >= 0.7 * n and least <= shared <= 0.64 * n + 2):
         return False
     return len(_HARD.findall(unit)) <= 0.03 * len(unit) and bare.count("") <= 0.15 * n
