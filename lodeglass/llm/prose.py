@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeglass.llm.prose_stats import NAMES, statistics
+from lodeglass.llm.prose_stats import NAMES, Words, statistics
 from lodeglass.session import cut_lineage, spread
 
 N = len(NAMES)
@@ -58,10 +58,11 @@ def text_statistics(documents: DataFrame, words: DataFrame, doc_col: str = "doc_
     sure = NAMES.index("common_share")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Words(common)
         for pdf in batches:
             rows = []
             for doc, text, declared in pdf.itertuples(index=False):
-                found = statistics(text, common)
+                found = statistics(text, known)
                 if found is None:
                     continue
                 own, values = found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from operator import and_
 
@@ -25,6 +26,7 @@ _COLUMNS = re.compile(r"\S(?: {3,}|\t+)\S")
 _TIGHT_COMMA = re.compile(r"[^\s,;],[^\s\d]")
 _STAMP = re.compile(r"^(?:.{0,38}?\b\d\d?:\d\d:\d\d|[\[{(<]?\w?\d{4}[-/.\d]|\d{9,}|\w+=|[{\[<])")
 _INDEX = re.compile(r"^\d+(?:\.\d+)*\s.*\s\d+$|(?<!\.)\.{4,}+\s*+\d+$")
+_DIGIT = re.compile(r"\d")
 _CODE = re.compile(r"[()\[\]{}=<>]")
 _TRIM = ".,;:!?\"'()[]{}<>«»“”„‘’…¿¡`*_–—-"
 _CLOSE = tuple(".!?:…\"”»)")
@@ -80,23 +82,68 @@ def units(text: str) -> Iterator[tuple[str, str]]:
     yield from flush()
 
 
-def _is_flow(unit: str, kind: str, tokens: list[str], bare: list[str], wordlike: int, shared: int) -> bool:
-    """Whether a unit reads as sentences; `shared` counts the common words of the language that has most of them in it."""
-    n = len(tokens)
+class Words:
+    """What is to be known of a token, looked up once for each distinct one.
+
+    `of` gives (bare word, length, bits, languages): the word in lower case
+    without signs around it, its kinds as bits, and the languages of which it
+    is a common word as bits in the order of `languages`.
+    """
+
+    LETTERS, WORDLIKE, OPAQUE, NAME, STOP, EMPTY = (1 << k for k in range(6))
+    #: Distinct tokens remembered at a time.
+    ROOM = 200_000
+
+    def __init__(self, common: dict[str, frozenset[str]]):
+        self.common, self.languages, self._known = common, sorted(common), {}
+
+    def of(self, token: str) -> tuple[str, int, int, int]:
+        found = self._known.get(token)
+        if found is None:
+            if len(self._known) >= self.ROOM:
+                self._known.clear()
+            found = self._known[token] = self._look(token)
+        return found
+
+    def _look(self, token: str) -> tuple[str, int, int, int]:
+        bare = _bare(token)
+        word, bits = bare.lower(), 0
+        if not word:
+            bits |= self.EMPTY
+        else:
+            bits |= self.LETTERS * any(c.isalpha() for c in word)
+            if _WORD.match(bare) or _NAME.match(bare):
+                bits |= self.WORDLIKE
+            elif not word.replace(".", "").replace(",", "").isdigit():
+                bits |= self.OPAQUE
+            bits |= self.NAME * ("_" in word or "/" in word)
+        bits |= self.STOP * token.endswith(_STOP)
+        return word, len(word), bits, sum((word in self.common[x]) << k for k, x in enumerate(self.languages))
+
+
+def _by_bit(counts: Counter, n: int) -> list[int]:
+    """How often each of `n` bits is set, from counted masks."""
+    return [sum(c for mask, c in counts.items() if mask >> k & 1) for k in range(n)]
+
+
+def _is_flow(unit: str, kind: str, known: list[tuple], n_languages: int) -> bool:
+    """Whether a unit reads as sentences; `known` is what `Words` says of its tokens."""
+    n = len(known)
     if n < 6 or kind == "item" and n < 9 and not unit.endswith((*_STOP, ":")):
         return False
     if kind == "broken" and _STAMP.match(unit) or _INDEX.search(unit) or _COLUMNS.search(unit) or len(_TIGHT_COMMA.findall(unit)) >= 2:
         return False
+    _, wordlike, _, names, stops, empty = _by_bit(Counter(x[2] for x in known), 6)
+    shared = max(_by_bit(Counter(x[3] for x in known), n_languages), default=0)
     # names crowd the common words out of technical sentences, which then show by the names or by their full stops
-    names = sum("_" in w or "/" in w for w in bare)
     technical = n >= 12 and 0.1 * n <= names <= 0.6 * n
-    least = 0.0 if technical or sum(t.endswith(_STOP) for t in tokens) >= n / 40 else 0.05 * n
-    if not (wordlike >= 0.7 * n and least <= shared <= 0.64 * n + 2):
+    least = 0.0 if technical or stops >= n / 40 else 0.05 * n
+    if not (wordlike >= 0.7 * n and least <= shared <= 0.64 * n + 2 and empty <= 0.15 * n):
         return False
-    return len(_HARD.findall(unit)) <= 0.03 * len(unit) and bare.count("") <= 0.15 * n
+    return len(_HARD.findall(unit)) <= 0.03 * len(unit)
 
 
-def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple[str, list[float]] | None:
+def statistics(text: str, common: dict[str, frozenset[str]] | Words) -> tuple[str, list[float]] | None:
     """(language, the statistics) of a text, or None if it has no visible character.
 
     The language is the one most of whose common words the text uses, the
@@ -106,49 +153,53 @@ def statistics(text: str, common: dict[str, frozenset[str]]) -> tuple[str, list[
     text = tidy(text)
     if not text.strip():
         return None
-    languages = sorted(common)
-    shared_by, pairs_by, runs_by = ([0] * len(languages) for _ in range(3))
-    words = letters = letter_chars = visible = tokens_n = parts_n = chars = flow = closed = opaque = 0
+    words = common if isinstance(common, Words) else Words(common)
+    of, n_languages = words.of, len(words.languages)
+    kinds, seen, firsts, both = Counter(), Counter(), Counter(), Counter()
+    held: list[tuple] = []  # tokens not yet counted; `end` closes each unit, so that no pair reaches over it
+    end = ("", 0, 0, 0)
+    chars = flow = closed = tokens_n = parts_n = letter_chars = 0
+
+    def count() -> int:
+        kinds.update([x[2] for x in held])
+        row = [x for x in held if x[1] or x is end]
+        masks = [x[3] for x in row]
+        seen.update(masks)
+        firsts.update([m for m, x in zip(masks, row[1:]) if x is not end])
+        both.update(map(and_, masks, masks[1:]))
+        return sum([x[1] for x in held if x[2] & 1])
+
+    visible = 0
     for unit, kind in units(text):
         tokens = unit.split()
-        bare = [_bare(t).lower() for t in tokens]
+        known = [of(t) for t in tokens]
+        flow += _is_flow(unit, kind, known, n_languages) * len(unit)
+        closed += unit.endswith(_CLOSE) * len(unit)
         parts_n += 1
         tokens_n += len(tokens)
         chars += len(unit)
-        visible += sum(map(len, tokens))
-        wordlike = 0
-        for w in bare:
-            if w:
-                words += 1
-                if not w.isdigit() and any(c.isalpha() for c in w):
-                    letters += 1
-                    letter_chars += len(w)
-                if _WORD.match(w) or _NAME.match(w):
-                    wordlike += 1
-                elif not w.replace(".", "").replace(",", "").isdigit():
-                    opaque += 1
-        most = 0
-        for k, language in enumerate(languages):
-            hits = [w in common[language] for w in bare if w]
-            n = sum(hits)
-            most = max(most, n)
-            shared_by[k] += n
-            pairs_by[k] += n - (bool(hits) and hits[-1])
-            runs_by[k] += sum(map(and_, hits, hits[1:]))
-        flow += _is_flow(unit, kind, tokens, bare, wordlike, most) * len(unit)
-        closed += unit.endswith(_CLOSE) * len(unit)
-    best = max(range(len(languages)), key=lambda k: (shared_by[k], -k), default=None)
-    shared, pairs, runs = (0, 0, 0) if best is None else (shared_by[best], pairs_by[best], runs_by[best])
+        visible += len(unit) - unit.count(" ")
+        held += known
+        held.append(end)
+        if len(held) > 20_000:
+            letter_chars += count()
+            held.clear()
+    letter_chars += count()
+    letters, _, opaque, _, _, empty = _by_bit(kinds, 6)
+    total = tokens_n - empty
+    shared, pairs, runs = (_by_bit(c, n_languages) for c in (seen, firsts, both))
+    best = max(range(n_languages), key=lambda k: (shared[k], -k), default=None)
+    common_n, pair_n, run_n = (0, 0, 0) if best is None else (shared[best], pairs[best], runs[best])
     visible = visible or sum(not c.isspace() for c in text)
-    return "" if best is None else languages[best], [
-        math.log1p(words),
+    return "" if best is None else words.languages[best], [
+        math.log1p(total),
         min(letter_chars / letters, 20.0) if letters else 20.0,
         len(_HARD.findall(text)) / visible,
-        sum(map(str.isdigit, text)) / visible,
-        shared / letters if letters else 0.0,
-        runs / pairs if pairs else 0.0,
+        len(_DIGIT.findall(text)) / visible,
+        common_n / letters if letters else 0.0,
+        run_n / pair_n if pair_n else 0.0,
         math.log1p(min(tokens_n / parts_n, 30.0)) if parts_n else 0.0,
         flow / chars if chars else 0.0,
         closed / chars if chars else 0.0,
-        opaque / words if words else 1.0,
+        opaque / total if total else 1.0,
     ]
