@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeglass.session import broadcast_if_small
+from lodeglass.session import broadcast_if_small, join_small_or_salted
 
 # Folder names, in lower case, under which generators or build tools write.
 GENERATED_DIRS = ["gen", "generated", "__generated__", "_generated", "autogen", "auto-generated", "codegen", "codegen-out", "generated-src", "generated_src"]
@@ -121,7 +121,7 @@ def declared(files: DataFrame, rules: DataFrame) -> DataFrame:
     folders = F.split(F.regexp_extract("path", r"^(?:(.*)/)?[^/]*$", 1), "/")
     above = F.transform(F.sequence(F.lit(0), F.size(folders)), lambda k: F.array_join(F.slice(folders, F.lit(1), k), "/"))
     at = files.select("root_path", "path", F.explode(F.array_distinct(above)).alias("folder"))
-    met = at.join(broadcast_if_small(rules), ["root_path", "folder"])
+    met = join_small_or_salted(at, rules, ["root_path", "folder"])
     below = F.when(F.col("folder") == "", F.col("path")).otherwise(F.expr("substring(path, length(folder) + 2)"))
     met = met.withColumn("_below", below).where("_below RLIKE pattern")
     depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
