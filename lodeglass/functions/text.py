@@ -36,14 +36,14 @@ def text_tokens(x: Column | str) -> Column:
     return F.ceil(F.length(_col(x)) / config.CHARS_PER_TOKEN)
 
 
-def _line_tokens(line: Column) -> Column:
+def line_tokens(line: Column) -> Column:
     cheap = line.rlike(rf"^{SPACE}*(?:\z|//|#)")
     return F.when(cheap, F.lit(config.BLANK_LINE_TOKENS).cast("bigint")).otherwise(F.ceil(F.length(line) / config.CHARS_PER_TOKEN))
 
 
 def code_tokens(x: Column | str) -> Column:
     """Tokens of code: blank and comment lines cost two, others a token per four characters."""
-    return F.aggregate(lines_of(x), F.lit(0).cast("bigint"), lambda acc, line: acc + _line_tokens(line))
+    return F.aggregate(lines_of(x), F.lit(0).cast("bigint"), lambda acc, line: acc + line_tokens(line))
 
 
 def lines_tokens(n: Column | str) -> Column:
@@ -144,6 +144,22 @@ def describe(path: Column | str, language: Column | str) -> Column:
     return out.when(language != "other", language).otherwise("file")
 
 
+def relative_path(path: Column | str, root: Column | str) -> Column:
+    """The path below a root, or the path itself where it isn't below it."""
+    path, root = _col(path), F.rtrim(_col(root), F.lit("/"))
+    below = path.startswith(F.concat(root, F.lit("/")))
+    return F.when(below, F.substr(path, F.length(root) + 2)).otherwise(path)
+
+
+def compound_key(*parts: Column | str) -> Column:
+    """One text for several key columns; null if any of them is."""
+    cols = [_col(p).cast("string") for p in parts]
+    known = cols[0].isNotNull()
+    for c in cols[1:]:
+        known &= c.isNotNull()
+    return F.when(known, F.concat_ws("|", *cols))
+
+
 # -- contents ----------------------------------------------------------------
 def redacted(x: Column | str) -> Column:
     """Private blocks replaced by a mark."""

@@ -70,6 +70,23 @@ def freshness(files: DataFrame, cache: DataFrame, key: str = "path") -> DataFram
     return joined.select(key, F.when(F.col("_there").isNull(), "unread").when(same, "fresh").otherwise("changed").alias("status"))
 
 
+def read_plan(status: Column, tokens: Column, budget: int = config.SNIPPET_BUDGET) -> Column:
+    """What a read of a file gives: ``summary`` if it is fresh and small, ``whole`` if it is small, else ``chunks``."""
+    return F.when(tokens > budget, "chunks").when(status == "fresh", "summary").otherwise("whole")
+
+
+def recalled(now: DataFrame, cache: DataFrame, key: str = "path") -> DataFrame:
+    """(key, status, summary, tokens): what is known of files read before; summary and tokens of fresh ones only.
+
+    `cache` has key, hash, summary and token_estimate, one row per key. Files
+    that the cache doesn't know are ``unread``.
+    """
+    status = freshness(now, cache, key)
+    known = cache.select(key, "summary", F.col("token_estimate").alias("tokens"))
+    fresh = F.col("status") == "fresh"
+    return status.join(known, key, "left").select(key, "status", F.when(fresh, F.col("summary")).alias("summary"), F.when(fresh, F.col("tokens")).alias("tokens"))
+
+
 def session_files(reads: DataFrame, owner: str, at: str, item: str, tokens: str, gap_hours: int = config.SESSION_GAP_HOURS) -> DataFrame:
     """(owner, item, read_at, tokens): what each owner has read in the latest session, at its last read."""
     marked = with_sessions(reads, owner, at, gap_hours)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.functions import logs as f
-from lodeglass.functions.text import trimmed
+from lodeglass.functions.text import line_tokens, percent_saved, text_tokens
 from lodeglass.operators import logs
 from lodeglass.plans import sqltext as q
 from lodeglass.session import table
@@ -54,9 +54,6 @@ def log_level_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def log_savings(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each log before and after condensing."""
-    from lodeglass.functions.text import percent_saved, text_tokens
-    from lodeglass.functions.text import _line_tokens as line_tokens
-
     before = _lines(spark, d).select("path", "line_no", "line").distinct().groupBy("path").agg(F.sum(line_tokens(F.col("line"))).alias("before"))
     after = log_compress(spark, d).groupBy("path").agg(F.sum(text_tokens("message")).alias("after"))
     both = before.join(after, "path", "left").fillna(0, ["after"])

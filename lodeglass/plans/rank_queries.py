@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass import config
-from lodeglass.functions.text import code_tokens, document_terms, lines_of, query_terms
+from lodeglass.functions.text import code_tokens, content_hash, lines_of, query_terms
 from lodeglass.operators import chunk, diff, graph, parse, rank, symbols
 from lodeglass.plans import samples
 from lodeglass.plans import sqltext as q
@@ -153,8 +153,6 @@ def incremental_index(spark: SparkSession, d: str) -> DataFrame:
     files = _code(spark, d).select(F.concat_ws("/", "root", "path").alias("path"), "language", "content")
     older = F.when(F.pmod(F.length("content"), F.lit(3)) == 0, F.regexp_replace("content", r"\n?[^\n]*\z", "")).otherwise(F.col("content"))
     before = files.withColumn("content", older)
-    from lodeglass.functions.text import content_hash
-
     state, _ = symbols.refresh(files, symbols.catalogue(before, ["path"]), before.select("path", content_hash("content").alias("hash")))
     return state.groupBy("language").agg(F.count(F.lit(1)).alias("symbols"), F.sum(F.xxhash64("path", "name", "kind", "line", "end_line").cast("decimal(38,0)")).alias("checksum"))
 

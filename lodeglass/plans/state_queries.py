@@ -60,6 +60,16 @@ def freshness_check(spark: SparkSession, d: str) -> DataFrame:
     return sessions.freshness(now, known)
 
 
+def recall_files(spark: SparkSession, d: str) -> DataFrame:
+    """What the first read of each file in a month tells of its present state, and what a further read would give."""
+    reads = table(spark, d, "file_cache").where("hash IS NOT NULL")
+    now = incremental.present_files(reads)
+    early = reads.where(F.col("last_read_at") < F.lit("2025-02-20").cast("timestamp_ntz"))
+    cache = early.groupBy("path").agg(F.max(F.struct("last_read_at", F.lower("hash").alias("hash"), "summary", "token_estimate")).alias("_r")).select("path", "_r.*")
+    found = sessions.recalled(now, cache)
+    return found.withColumn("plan", sessions.read_plan(F.col("status"), F.coalesce("tokens", F.lit(0))))
+
+
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
     """Documents as items of a conversation per source, beside a file of each source's name."""
     docs = table(spark, d, "documents").where("source IS NOT NULL AND path IS NOT NULL")
@@ -145,6 +155,13 @@ def _oracles() -> dict[str, str]:
         "cache_expiry": f"WITH {_LATEST} SELECT path, floor(epoch_us(TIMESTAMP '2025-02-20 00:00:00' - last_read_at) / 60e6 + 0.5)::BIGINT AS minutes FROM c WHERE last_read_at < TIMESTAMP '2025-02-13 00:00:00'"
         .replace("epoch_us(TIMESTAMP '2025-02-20 00:00:00' - last_read_at)", "(epoch_us(TIMESTAMP '2025-02-20 00:00:00') - epoch_us(last_read_at))"),
         "freshness_check": f"WITH {pipeline._LISTING} SELECT l.path, CASE WHEN m.path IS NULL THEN 'unread' WHEN m.hash IS NOT DISTINCT FROM l.hash THEN 'fresh' ELSE 'changed' END AS status FROM listing l LEFT JOIN manifest m ON l.path = m.path",
+        "recall_files": """
+            WITH n AS (SELECT path, arg_max(lower(hash), (last_read_at, lower(hash))) AS hash FROM file_cache WHERE hash IS NOT NULL AND path IS NOT NULL AND last_read_at IS NOT NULL GROUP BY path),
+            c AS (SELECT path, lower(hash) AS hash, summary, token_estimate FROM file_cache WHERE hash IS NOT NULL AND last_read_at < TIMESTAMP '2025-02-20'
+                  QUALIFY row_number() OVER (PARTITION BY path ORDER BY last_read_at DESC, lower(hash) DESC, summary DESC NULLS LAST, token_estimate DESC NULLS LAST) = 1),
+            s AS (SELECT n.path, CASE WHEN c.path IS NULL THEN 'unread' WHEN c.hash = n.hash THEN 'fresh' ELSE 'changed' END AS status, c.summary, c.token_estimate FROM n LEFT JOIN c ON n.path = c.path)
+            SELECT path, status, CASE WHEN status = 'fresh' THEN summary END AS summary, CASE WHEN status = 'fresh' THEN token_estimate END AS tokens,
+                   CASE WHEN status = 'fresh' AND token_estimate > 2000 THEN 'chunks' WHEN status = 'fresh' THEN 'summary' ELSE 'whole' END AS plan FROM s""",
         "context_budget": f"SELECT label, tokens, priority, {_ADVICE} AS advice, {reason} AS reason FROM ({items})",
         "context_budget_totals": f"""WITH i AS (SELECT lower(trim(source)) AS source, coalesce(path, '') AS label, {q.code_tokens('text')} AS tokens, 5 AS priority FROM documents WHERE source IS NOT NULL)
             SELECT source, sum(tokens)::BIGINT AS tokens, floor(sum(tokens) / 150000.0 * 100 + 0.5)::BIGINT AS percent, CASE WHEN sum(tokens) >= 150000 THEN 'critical' WHEN sum(tokens) >= 80000 THEN 'warning' ELSE 'ok' END AS status,
@@ -170,7 +187,7 @@ def _oracles() -> dict[str, str]:
 
 QUERIES = {
     "sessionize_24h": sessionize_24h, "session_totals": session_totals, "session_latest_read": session_latest_read, "session_files": session_files,
-    "cache_latest": cache_latest, "purge_expired": purge_expired, "cache_expiry": cache_expiry, "freshness_check": freshness_check, "context_budget": context_budget, "context_budget_totals": context_budget_totals,
+    "cache_latest": cache_latest, "purge_expired": purge_expired, "cache_expiry": cache_expiry, "freshness_check": freshness_check, "recall_files": recall_files, "context_budget": context_budget, "context_budget_totals": context_budget_totals,
     "budget_session_merge": budget_session_merge, "context_watchdog": context_watchdog, "task_progress": task_progress, "task_checkpoint_merge": task_checkpoint_merge,
     "observation_groups": observation_groups, "snapshots_latest": snapshots_latest,
 }

@@ -62,6 +62,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if small else df
 
 
+def join_small_or_salted(left: DataFrame, right: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
+    """Inner join of `left` with `right`, which has few rows per key; a key may hold a third of all rows of `left`.
+
+    A small `right` is broadcast. A larger one is repeated for each of `salts`
+    shares into which the rows of `left` fall by hash.
+    """
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), keys)
+    cut = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return cut.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan, over as many partitions as there are cores if it comes in fewer; anything that shuffles as it is.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass import config
-from lodeglass.functions.text import content_hash, extension, language_of, lines_of, trimmed
+from lodeglass.functions.text import code_tokens, content_hash, extension, language_of, lines_of, summary_of
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,6 @@ def _dotted(spark: SparkSession, base: str, rules: ScanRules) -> tuple[list[str]
 
 def _read_files(spark: SparkSession, files: list[tuple]) -> DataFrame:
     """The rows that Spark's binary source would give for these files (path, length, time in milliseconds)."""
-    import pandas as pd
 
     def read(batches):
         from pyarrow import fs
@@ -123,12 +123,8 @@ def file_lines(files: DataFrame, keys: list[str], content: str = "content") -> D
 
 def file_records(files: DataFrame, as_of: Column) -> DataFrame:
     """The cache rows that reading the files gives: path, hash, summary, language, line_count, token_estimate, last_read_at."""
-    from lodeglass.functions.text import code_tokens, summary_of
-
     return files.select(
         "path", content_hash("content").alias("hash"), summary_of("content", "language").alias("summary"), "language",
         F.size(lines_of("content")).cast("bigint").alias("line_count"), code_tokens("content").alias("token_estimate"), as_of.alias("last_read_at"),
     )
 
-
-__all__ = ["GRAPH_SCAN", "MAP_SCAN", "SEARCH_SCAN", "SYMBOL_SCAN", "ScanRules", "distinct_files", "file_lines", "file_records", "scan_tree", "taken", "trimmed"]

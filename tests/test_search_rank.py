@@ -182,3 +182,31 @@ def test_keyed_table(spark, tmp_path):
     assert rows(t.read()) == [("c", None)] and len(t._parts()) == 1
     t.upsert(frame(("a", 9)))
     assert rows(t.read()) == [("a", 9), ("c", None)]
+
+
+def test_tables_of_the_schema(spark, tmp_path):
+    from lodeglass import schema
+
+    for name in schema.TABLES:
+        assert schema.open_table(spark, str(tmp_path), name).count() == 0
+    tasks_table = schema.open_table(spark, str(tmp_path), "tasks")
+    tasks_table.upsert(spark.createDataFrame([("t1", "Title", ["d"])], "id string, title string, decisions array<string>"))
+    assert [(r["id"], r["decisions"], r["tasks"]) for r in tasks_table.get(id="t1").collect()] == [("t1", ["d"], None)]
+
+
+def test_joins_of_hot_keys(spark):
+    from lodeglass.session import broadcast_if_small, join_small_or_salted
+
+    left = spark.createDataFrame([("hot" if k % 3 else f"k{k}", k) for k in range(300)], "k string, n int")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3)], "k string, m int")
+    small, salted = join_small_or_salted(left, right, ["k"]), join_small_or_salted(left, right, ["k"], max_rows=1, salts=7)
+    assert rows(small) == rows(salted) and len(rows(small)) == 401 and small.columns == salted.columns
+    assert rows(broadcast_if_small(right, 1)) == rows(right)
+
+
+def test_recall(spark):
+    now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, hash string")
+    cache = spark.createDataFrame([("a", "1", "S", 10), ("b", "9", "T", 20)], "path string, hash string, summary string, token_estimate bigint")
+    assert rows(sessions.recalled(now, cache)) == [("a", "fresh", "S", 10), ("b", "changed", None, None), ("c", "unread", None, None)]
+    plans = spark.createDataFrame([("fresh", 10), ("changed", 10), ("fresh", 2001)], "s string, t int")
+    assert [r[0] for r in plans.select(sessions.read_plan(F.col("s"), F.col("t"))).collect()] == ["summary", "whole", "chunks"]

@@ -131,3 +131,9 @@ def test_context(spark, size):
 
 def test_rows_helper(spark):
     assert rows(spark.createDataFrame([(2,), (1,)], "a int")) == [(1,), (2,)]
+
+
+def test_keys_and_relative_paths(spark):
+    df = spark.createDataFrame([("/a/b/c.ts", "/a/b/", 1), ("/a/bc", "/a/b", None), ("x", "/", 2)], "p string, r string, n int")
+    got = [tuple(r) for r in df.select(text.relative_path("p", "r"), text.compound_key("p", "n")).collect()]
+    assert got == [("c.ts", "/a/b/c.ts|1"), ("/a/bc", None), ("x", "x|2")]
