@@ -34,6 +34,9 @@ IGNORED_DIRECTORIES = [
 ]
 IGNORED_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", ".env", ".env.local", ".env.production"]
 
+# Folders with a dot that a map takes at the top of a tree.
+DOTTED_TOP = (".github", ".claude")
+
 # Languages by file ending.
 LANGUAGE_EXTENSIONS = {
     "typescript": [".ts", ".tsx", ".mts"],

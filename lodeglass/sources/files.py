@@ -20,7 +20,7 @@ class ScanRules:
     max_bytes: int | None = None
     skip_files: bool = True
     dotted: str = "never"  # never | top (named ones at the top) | below (everything that starts with a dot, below the top)
-    dotted_top: tuple[str, ...] = (".github", ".claude")
+    dotted_top: tuple[str, ...] = config.DOTTED_TOP
     languages: tuple[str, ...] | None = None
     extensions: tuple[str, ...] | None = None
 
