@@ -9,11 +9,12 @@ from lodeglass import config
 from lodeglass.functions.logs import dedupe_key, line_level
 from lodeglass.functions.text import trimmed
 from lodeglass.operators.search import top_per_group
+from lodeglass.session import spread
 
 
 def trouble_lines(lines: DataFrame, file: str = "path") -> DataFrame:
     """(file, line_no, level, message): lines at FATAL, ERROR or WARN, trimmed; a line delivered twice counts once."""
-    found = lines.select(file, "line_no", line_level(F.col("line")).alias("level"), trimmed("line").alias("message"))
+    found = spread(lines.select(file, "line_no", "line")).select(file, "line_no", line_level(F.col("line")).alias("level"), trimmed("line").alias("message"))
     return found.where("level IS NOT NULL").distinct()
 
 
