@@ -84,9 +84,9 @@ def context_budget_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_session_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Items named by some users, completed by what the others have in their sessions."""
+    """Every owner's items of all types at their greatest size, completed by what of the latest sessions none of them names."""
     files = session_files(spark, d).select(F.concat_ws("/", F.col("owner").cast("string"), "item").alias("item"), "tokens")
-    items = _reads(spark, d).where("owner <= 50 AND item = 'view'").groupBy("owner", "item").agg(F.max("tokens").alias("tokens"))
+    items = _reads(spark, d).groupBy("owner", "item").agg(F.max("tokens").alias("tokens"))
     items = items.select(F.concat_ws("/", F.col("owner").cast("string"), "item").alias("label"), "tokens", F.lit(9).alias("priority"))
     return budget.with_session_files(items, files)
 
