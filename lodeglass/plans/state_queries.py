@@ -19,11 +19,11 @@ def _reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sessionize_24h(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.with_sessions(_reads(spark, d).where("item = 'error'"), "owner", "read_at").select("event_id", "owner", "session_no")
+    return sessions.with_sessions(_reads(spark, d), "owner", "read_at").select("event_id", "owner", "session_no")
 
 
 def session_totals(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.session_totals(_reads(spark, d).where("item = 'error'"), "owner", "read_at", "item", "tokens")
+    return sessions.session_totals(_reads(spark, d), "owner", "read_at", "item", "tokens")
 
 
 def session_latest_read(spark: SparkSession, d: str) -> DataFrame:

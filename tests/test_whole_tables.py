@@ -26,3 +26,11 @@ def test_session_files_that_no_item_names_are_added(spark):
     items = spark.createDataFrame([("a", 1, 9), ("a", 2, 9)], "label string, tokens bigint, priority int")
     files = spark.createDataFrame([("a", 7), ("b", 3)], "item string, tokens bigint")
     assert rows(budget.with_session_files(items, files)) == [("a", 1, 9), ("a", 2, 9), ("b", 3, 5)]
+
+
+def test_events_of_all_types_are_put_into_sessions(spark, tmp_path):
+    folder = events(spark, tmp_path)
+    got = rows(state_queries.sessionize_24h(spark, folder), "event_id", "session_no")
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 1), (6, 2)]
+    totals = state_queries.session_totals(spark, folder)
+    assert rows(totals, "owner", "session_no", "reads", "items", "tokens") == [(7, 1, 3, 3, 10), (7, 2, 1, 1, 1), (800, 1, 1, 1, 9), (800, 2, 1, 1, 4)]
