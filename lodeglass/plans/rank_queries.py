@@ -172,10 +172,9 @@ def most_imported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_imports(spark: SparkSession, d: str) -> DataFrame:
-    """Imports of a small tree that names its files in all the ways there are."""
-    files = [("r", p) for p in ("src/a.ts", "src/b.ts", "src/lib/index.ts", "src/lib/c.tsx", "src/d.js", "py/e.py", "top.ts")]
-    edges = [("r", "src/a.ts", t) for t in ("./b", "./lib", "./lib/c.js", "../top", "./d.js", "./d", "./missing", "react", "../src/./b")] + [("r", "py/e.py", ".e"), ("r", "src/lib/c.tsx", "..")]
-    return graph.resolved(spark.createDataFrame(edges, "root string, path string, target string"), spark.createDataFrame(files, "root string, path string"))
+    """The files that relative imports mean, among the files of the code table and the project map."""
+    listed = table(spark, d, "code_files").select(*KEYS).unionByName(table(spark, d, "project_map").select(F.col("root_path").alias("root"), "path"))
+    return graph.resolved(graph.import_edges(_code(spark, d), KEYS), listed.unionByName(samples.frame(spark).select(*KEYS)))
 
 
 def reach_depth2(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from helpers import at, rows
 
-from lodeglass.operators import budget
-from lodeglass.plans import state_queries
+from lodeglass.operators import budget, graph
+from lodeglass.plans import rank_queries, state_queries
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -34,3 +34,22 @@ def test_events_of_all_types_are_put_into_sessions(spark, tmp_path):
     assert got == [(1, 1), (2, 1), (3, 1), (4, 2), (5, 1), (6, 2)]
     totals = state_queries.session_totals(spark, folder)
     assert rows(totals, "owner", "session_no", "reads", "items", "tokens") == [(7, 1, 3, 3, 10), (7, 2, 1, 1, 1), (800, 1, 1, 1, 9), (800, 2, 1, 1, 4)]
+
+
+def test_imports_of_a_small_tree_that_names_its_files_in_all_ways(spark):
+    files = [("r", p) for p in ("src/a.ts", "src/b.ts", "src/lib/index.ts", "src/lib/c.tsx", "src/d.js", "py/e.py", "top.ts")]
+    edges = [("r", "src/a.ts", t) for t in ("./b", "./lib", "./lib/c.js", "../top", "./d.js", "./d", "./missing", "react", "../src/./b")] + [("r", "py/e.py", ".e"), ("r", "src/lib/c.tsx", "..")]
+    got = graph.resolved(spark.createDataFrame(edges, "root string, path string, target string"), spark.createDataFrame(files, "root string, path string"))
+    want = {"./b": "src/b.ts", "./lib": "src/lib/index.ts", "./lib/c.js": "src/lib/c.tsx", "../top": "top.ts", "./d.js": "src/d.js", "./d": "src/d.js", "../src/./b": "src/b.ts"}
+    assert rows(got, "root", "path", "target", "file") == sorted((("r", "src/a.ts", t, f) for t, f in want.items()), key=repr)
+
+
+def test_imports_of_the_tables_are_resolved(spark, tmp_path):
+    code = [
+        ("src/a.ts", "/r", "typescript", "import { x } from './b.js';\nimport y from '../lib/c';\nimport z from './gone';\nimport q from 'react';"),
+        ("src/b.ts", "/r", "typescript", None), ("src/b.ts", "/other", "typescript", "import a from './a';"),
+    ]
+    spark.createDataFrame(code, "path string, root string, language string, content string").write.parquet(f"{tmp_path}/code_files.parquet")
+    spark.createDataFrame([("/r", "lib/c.ts"), ("/r", "src/a.ts")], "root_path string, path string").write.parquet(f"{tmp_path}/project_map.parquet")
+    got = rows(rank_queries.resolve_imports(spark, str(tmp_path)), "root", "path", "target", "file")
+    assert got == [("/r", "src/a.ts", "../lib/c", "lib/c.ts"), ("/r", "src/a.ts", "./b.js", "src/b.ts"), ("samples", "src/gauge.ts", "./clock", "src/clock.ts")]
