@@ -71,9 +71,9 @@ def recall_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as items of a conversation per source, beside a file of each source's name."""
-    docs = table(spark, d, "documents").where("source IS NOT NULL AND path IS NOT NULL")
-    items = docs.select(F.col("path").alias("label"), (code_tokens("text") * 10).alias("tokens"), F.pmod("doc_id", F.lit(10)).cast("int").alias("priority"))
+    """All documents as items of a conversation; those without path have an empty label."""
+    docs = table(spark, d, "documents")
+    items = docs.select(F.coalesce("path", F.lit("")).alias("label"), (code_tokens("text") * 10).alias("tokens"), F.pmod("doc_id", F.lit(10)).cast("int").alias("priority"))
     return budget.judged_items(items)
 
 

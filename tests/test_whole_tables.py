@@ -53,3 +53,10 @@ def test_imports_of_the_tables_are_resolved(spark, tmp_path):
     spark.createDataFrame([("/r", "lib/c.ts"), ("/r", "src/a.ts")], "root_path string, path string").write.parquet(f"{tmp_path}/project_map.parquet")
     got = rows(rank_queries.resolve_imports(spark, str(tmp_path)), "root", "path", "target", "file")
     assert got == [("/r", "src/a.ts", "../lib/c", "lib/c.ts"), ("/r", "src/a.ts", "./b.js", "src/b.ts"), ("samples", "src/gauge.ts", "./clock", "src/clock.ts")]
+
+
+def test_documents_without_path_or_source_are_judged(spark, tmp_path):
+    docs = [(1, "x " * 4, "s", "a.log"), (2, "word " * 9000, "s", None), (3, "y", None, "b"), (8, "z", None, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, path string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(state_queries.context_budget(spark, str(tmp_path)), "priority", "label", "advice")
+    assert got == [(1, "a.log", "consider-removing"), (2, "", "consider-removing"), (3, "b", "keep"), (8, "", "keep")]
