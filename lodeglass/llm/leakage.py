@@ -26,6 +26,8 @@ MIN_WORDS = 12
 SEGMENT_CHARS = 8 << 20
 #: Words of test items that go to the executors at once; larger query sets pass in blocks.
 BLOCK_WORDS = 1_000_000
+#: Places of a segment that one step of a search with gaps looks at.
+PLACES = 50_000
 
 _WORD = re.compile("[a-z0-9]+")
 
@@ -116,6 +118,54 @@ class Segment:
                 best[doc] = max(best.get(doc, 0), n)
         return best
 
+    def near_with_gaps(self, item: np.ndarray, width: int, misses: int, gaps: int) -> dict[int, int]:
+        """Documents that hold all but `misses` words of a window of the item in their order, within ``width + gaps`` words; the most such words.
+
+        One at least of the window's ``misses + 1`` rarest terms is among
+        them. If the one at offset k stands at p, the stretch begins between
+        ``p - k - gaps - misses`` and ``p - k + misses``; only where the words
+        around hold enough of the window's are its beginnings looked at.
+        """
+        best: dict[int, int] = {}
+        counts, need, span = self.counts[item], width - misses, width + gaps
+        around = np.arange(-gaps - misses, misses + span)
+        member = np.zeros(len(self.counts) + 1, bool)  # the last one is that of -1
+        for w in range(len(item) - width + 1):
+            if np.count_nonzero(counts[w: w + width]) < need:
+                continue
+            window, rarest = item[w: w + width], np.argsort(counts[w: w + width], kind="stable")[: misses + 1]
+            found = [(self.postings(window[k]), k) for k in rarest]
+            docs = np.concatenate([self.documents(p) for p, _ in found])
+            keys = np.unique(docs * (len(self.at) + width) + np.concatenate([p - k for p, k in found]) + width)
+            if not len(keys):
+                continue
+            docs, begin = keys // (len(self.at) + width), keys % (len(self.at) + width) - width
+            member[window] = True
+            for part in range(0, len(keys), PLACES):
+                doc = docs[part: part + PLACES]
+                places = begin[part: part + PLACES, None] + around
+                inside = (places >= self.starts[doc, None]) & (places < self.starts[doc + 1, None] - 1)  # without the end mark
+                codes = np.where(inside, self.at[np.clip(places, 0, len(self.at) - 1)], -1)
+                enough = np.flatnonzero(member[codes].sum(axis=1) >= need)
+                if len(enough):
+                    views = np.lib.stride_tricks.sliding_window_view(codes[enough], span, axis=1)
+                    hits = _in_order(views.reshape(-1, span), window).reshape(len(enough), -1).max(axis=1)
+                    for d, n in zip(doc[enough].tolist(), hits.tolist()):
+                        if n >= need:
+                            best[d] = max(best.get(d, 0), n)
+            member[window] = False
+        return best
+
+
+def _in_order(stretches: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """The most words of `window` that each row of `stretches` holds in their order."""
+    before = np.zeros((len(stretches), len(window) + 1), np.int16)
+    for k in range(stretches.shape[1]):
+        now = np.zeros_like(before)
+        np.maximum(before[:, 1:], before[:, :-1] + (stretches[:, k, None] == window), out=now[:, 1:])
+        before = np.maximum.accumulate(now, axis=1)
+    return before[:, -1]
+
 
 def _segments(texts: pd.Series) -> Iterator[slice]:
     """Slices of at most `SEGMENT_CHARS` characters, or of one text that is longer."""
@@ -144,19 +194,24 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) ->
 
 def find_passages(
     documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", min_words: int = MIN_WORDS, misses: int = 0, block_words: int = BLOCK_WORDS,
+    item_text_col: str = "text", min_words: int = MIN_WORDS, misses: int = 0, block_words: int = BLOCK_WORDS, gaps: int = 0,
 ) -> DataFrame:
     """(doc_id, item_id, matched): documents that hold `min_words` consecutive words of an item.
 
     With `misses` up to that many of the words may be others (proximity
     matches); `matched` is then the most words found in place, else
-    `min_words`. Rows are distinct. Null ids and texts are left out; items or
-    documents with fewer words can't match. Repeated documents and items each
+    `min_words`. With `gaps` the words needn't stand in fixed places: all but
+    `misses` of them must stand in their order within ``min_words + gaps``
+    words of the document, so that words may be put in or left out as well;
+    `matched` is then the most words found in order. Rows are distinct. Null ids and texts are left out; items with
+    fewer words can't match, nor can documents, unless words may be left out. Repeated documents and items each
     report under their own id. Other columns are ignored. The items, a stated
     query set, visit the corpus in blocks of `block_words` words.
     """
     if not 0 <= misses < min_words:
         raise ValueError("0 <= misses < min_words must hold")
+    if gaps < 0:
+        raise ValueError("gaps must not be negative")
     docs = spread(documents.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(doc_col, text_col))
     kind = lambda df, c: next(f.dataType for f in df.schema if f.name == c)
     schema = StructType([StructField(doc_col, kind(documents, doc_col)), StructField(item_col, kind(items, item_col))])
@@ -170,7 +225,10 @@ def find_passages(
                 for part in _segments(pdf[text_col]):
                     ids, segment, rows = pdf[doc_col].iloc[part].tolist(), Segment(pdf[text_col].iloc[part].tolist(), queries), []
                     for item_id, item in zip(queries.ids, queries.codes):
-                        hits = segment.near(item, min_words, misses) if misses else dict.fromkeys(segment.exact(item, min_words), min_words)
+                        if gaps:
+                            hits = segment.near_with_gaps(item, min_words, misses, gaps)
+                        else:
+                            hits = segment.near(item, min_words, misses) if misses else dict.fromkeys(segment.exact(item, min_words), min_words)
                         rows += [(ids[doc], item_id, n) for doc, n in hits.items()]
                     yield pd.DataFrame(rows, columns=[doc_col, item_col, "matched"])
 

@@ -54,8 +54,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
-    """Also passages of twelve words of which up to two are others."""
-    return leakage.find_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), misses=2)
+    """Also passages of twelve words of which up to two are others or left out, with up to two put in between."""
+    return leakage.find_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), misses=2, gaps=2)
 
 
 # -- 7 -----------------------------------------------------------------------
