@@ -1,7 +1,7 @@
 """Processing only new or changed records.
 
 A manifest holds what earlier successful runs have processed: one row per key
-with the checksum (and size) it had then. A run anti-joins the present listing
+with the checksum (and the size, where its column is named) it had then. A run anti-joins the present listing
 against it, writes its output under its own batch identifier, writes its
 manifest rows, and commits both with one atomic rename. A run that dies before
 the rename leaves nothing that a reader would see, and running the same batch
@@ -71,19 +71,23 @@ def indexed_files(entries: DataFrame, runs: DataFrame, ok: str = "ok") -> DataFr
     )
 
 
-def pending(listing: DataFrame, manifest: DataFrame, key: str = "path", checksum: str = "hash") -> DataFrame:
-    """Rows of `listing` that the manifest doesn't hold with the same checksum.
+def pending(listing: DataFrame, manifest: DataFrame, key: str = "path", checksum: str = "hash", size: str | None = None) -> DataFrame:
+    """Rows of `listing` that the manifest doesn't hold with the same checksum and, if `size` is named, size.
 
     Both sides have one row per key. Keys are compared exactly, checksums
     without regard to letter case. A listed row without checksum is pending
-    whenever it has a key. Other columns of `listing` stay; those of the
+    whenever it has a key. A manifest row without size, as from before sizes
+    were kept, tells by its checksum alone. Other columns of `listing` stay; those of the
     manifest, whatever their names, don't get in.
     """
     mark = "_done"
     while any(c.lower().startswith(mark) for c in listing.columns):
         mark = f"_{mark}"
-    done = manifest.select(F.col(key).alias(f"{mark}_key"), _sum_of(checksum).alias(f"{mark}_sum"))
+    sizes = [F.col(size).alias(f"{mark}_size")] if size else []
+    done = manifest.select(F.col(key).alias(f"{mark}_key"), _sum_of(checksum).alias(f"{mark}_sum"), *sizes)
     same = (F.col(key) == F.col(f"{mark}_key")) & (_sum_of(checksum) == F.col(f"{mark}_sum"))
+    if size:
+        same &= F.col(f"{mark}_size").isNull() | F.col(size).eqNullSafe(F.col(f"{mark}_size"))
     return listing.where(F.col(key).isNotNull()).join(done, same, "left_anti")
 
 
@@ -97,12 +101,13 @@ class Ledger:
 
     ``pending/<batch>`` what the batch has to do, frozen when it first began;
     ``output/batch=<batch>`` its result; ``manifest/batch=<batch>`` the keys
-    and checksums it covers; ``commits/<batch>`` a small file that makes the
-    batch count. Works on any file system that Hadoop knows.
+    and checksums (with `size`, that column too) it covers; ``commits/<batch>``
+    a small file that makes the batch count. Works on any file system that Hadoop knows.
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "path", checksum: str = "hash"):
-        self.spark, self.root, self.key, self.checksum = spark, root.rstrip("/"), key, checksum
+    def __init__(self, spark: SparkSession, root: str, key: str = "path", checksum: str = "hash", size: str | None = None):
+        self.spark, self.root, self.key, self.checksum, self.size = spark, root.rstrip("/"), key, checksum, size
+        self._state = [checksum, size] if size else [checksum]
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -127,18 +132,20 @@ class Ledger:
     def _read(self, kind: str) -> DataFrame | None:
         paths = [f"{self.root}/{kind}/batch={b}" for b in self.committed()]
         paths = [p for p in paths if self._fs.exists(self._path(p))]
-        return self.spark.read.option("basePath", f"{self.root}/{kind}").parquet(*paths) if paths else None
+        return self.spark.read.option("basePath", f"{self.root}/{kind}").option("mergeSchema", kind == "manifest").parquet(*paths) if paths else None
 
     # -- reading ---------------------------------------------------------
     def manifest(self) -> DataFrame:
-        """(key, checksum): the latest committed state of each key."""
+        """(key, checksum), with `size` (key, checksum, size): the latest committed state of each key."""
         rows = self._read("manifest")
         if rows is None:
-            return self.spark.createDataFrame([], f"`{self.key}` string, `{self.checksum}` string")
+            return self.spark.createDataFrame([], f"`{self.key}` string, `{self.checksum}` string" + (f", `{self.size}` bigint" if self.size else ""))
+        if self.size and self.size not in rows.columns:  # all batches are from before sizes were kept
+            rows = rows.withColumn(self.size, F.lit(None).cast("bigint"))
         return (
             rows.groupBy(self.key)
-            .agg(F.max(F.struct("seq", self.checksum)).alias("_r"))
-            .select(self.key, F.col(f"_r.{self.checksum}").alias(self.checksum))
+            .agg(F.max(F.struct("seq", *self._state)).alias("_r"))
+            .select(self.key, *[F.col(f"_r.{c}").alias(c) for c in self._state])
         )
 
     def output(self) -> DataFrame | None:
@@ -167,10 +174,10 @@ class Ledger:
             return False
         frozen = f"{self.root}/pending/{batch}"
         if not self._fs.exists(self._path(f"{frozen}/_SUCCESS")):
-            pending(listing, self.manifest(), self.key, self.checksum).write.mode("overwrite").parquet(frozen)
+            pending(listing, self.manifest(), self.key, self.checksum, self.size).write.mode("overwrite").parquet(frozen)
         todo = self.spark.read.parquet(frozen)
         work(todo).write.mode("overwrite").parquet(f"{self.root}/output/batch={batch}")
-        todo.select(self.key, self.checksum, F.lit(len(done)).alias("seq")).write.mode("overwrite").parquet(
+        todo.select(self.key, *self._state, F.lit(len(done)).alias("seq")).write.mode("overwrite").parquet(
             f"{self.root}/manifest/batch={batch}"
         )
         self._commit(batch, {"batch": batch, "seq": len(done)})
