@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeglass.session import cut_lineage
@@ -36,6 +36,8 @@ LIMIT, OVERLAP = 60, 5
 RANGE_BYTES = 4 << 20
 #: Lines of an item that one walk covers.
 STRETCH_LINES = 50_000
+#: Bytes of pieces that a task holds before it hands them on.
+HELD_BYTES = 16 << 20
 
 # White space other than the line feed, as UTF-8.
 _SPACE = rb"(?:[ \t\r\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
@@ -345,16 +347,33 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return found.select("path", "length")
 
 
-def line_slice(text: Column, first: Column, last: Column) -> Column:
-    """Lines `first` to `last` of a text."""
-    return F.array_join(F.slice(F.split(text, "\n", -1), first.cast("int"), (last - first + 1).cast("int")), "\n")
-
-
 def piece_texts(items: DataFrame, pieces: DataFrame, keys: list[str], text_col: str = "content") -> DataFrame:
-    """(keys, first, last, text): the pieces with their text."""
+    """(keys, first, last, text): the pieces with their text.
+
+    Each text meets the list of its pieces once and is searched for line feeds
+    once; the pieces are cut from it by byte offset.
+    """
     named = items.where(F.col(text_col).isNotNull()).groupBy(*keys).agg(F.max(F.struct(F.octet_length(text_col), text_col)).alias("_t"))
-    joined = pieces.join(named, keys)
-    return joined.select(*keys, "first", "last", line_slice(F.col(f"_t.{text_col}"), F.col("first"), F.col("last")).alias("text"))
+    wanted = pieces.groupBy(*keys).agg(F.collect_list(F.struct("first", "last")).alias("_pieces"))
+    joined = wanted.join(named, keys).select(*keys, "_pieces", F.col(f"_t.{text_col}").cast("binary").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in keys) + ", first bigint, last bigint, text binary"
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*keys, "first", "last", "text"]
+        for pdf in batches:
+            rows, held = [], 0
+            for *key, wanted, data in pdf.itertuples(index=False):
+                feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+                starts, ends = np.append(0, feeds + 1), np.append(feeds, len(data))
+                for p in wanted:
+                    rows.append((*key, p["first"], p["last"], data[starts[p["first"] - 1]: ends[p["last"] - 1]]))
+                    held += len(rows[-1][-1])
+                if held > HELD_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
+
+    return joined.mapInPandas(slices, schema).withColumn("text", F.col("text").cast("string"))
 
 
 def file_piece_texts(listing: DataFrame, pieces: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
