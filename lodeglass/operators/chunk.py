@@ -50,7 +50,7 @@ def unit_spans(lines: Column, language: Column) -> Column:
             name = F.element_at(F.split(F.split_part(sig, F.lit("("), F.lit(1)), r"\s+"), -1)
             return _span(at, F.least(at + (config.SIGNATURE_LINES - 1), n), "function", name)
 
-        return F.transform(parse.signatures(lines, language), chunk)
+        return F.transform(parse.all_signatures(lines, language), chunk)
 
     found = (
         F.when(language.isin("typescript", "javascript"), units(parse.brace_functions(lines), parse.brace_classes(lines)))

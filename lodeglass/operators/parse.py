@@ -135,8 +135,8 @@ def docstring(content: Column) -> Column:
 
 
 
-def signatures(lines: Column, language: Column) -> Column:
-    """Trimmed signature lines of languages without a parser, at most 50."""
+def all_signatures(lines: Column, language: Column) -> Column:
+    """Trimmed signature lines of languages without a parser."""
 
     def fits(line: Column) -> Column:
         out = None
@@ -146,7 +146,12 @@ def signatures(lines: Column, language: Column) -> Column:
                 out = F.when(language == lang, test) if out is None else out.when(language == lang, test)
         return out.otherwise(line.rlike(SIGNATURES[""][0]))
 
-    return F.slice(F.transform(F.filter(lines, fits), trimmed), 1, config.SIGNATURES)
+    return F.transform(F.filter(lines, fits), trimmed)
+
+
+def signatures(lines: Column, language: Column) -> Column:
+    """The first 50 of them, as a report lists them."""
+    return F.slice(all_signatures(lines, language), 1, config.SIGNATURES)
 
 
 def _fits(pattern: str):

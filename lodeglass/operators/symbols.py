@@ -63,7 +63,7 @@ def symbols_of(lines: Column, language: Column, indented: bool = True) -> Column
             _plain(lines, parse.INTERFACE, "interface"), _plain(lines, parse.TYPE, "type"), _plain(lines, parse.ENUM, "enum"),
         ))
         .when(language == "python", F.concat(spans(parse.indent_functions(lines), "function"), spans(indents, "class"), _methods(indents, lines)))
-        .otherwise(F.filter(F.transform(parse.signatures(lines, language), signature), lambda e: e.isNotNull()))
+        .otherwise(F.filter(F.transform(parse.all_signatures(lines, language), signature), lambda e: e.isNotNull()))
     )
 
 
