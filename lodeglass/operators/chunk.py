@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeglass import config
-from lodeglass.functions.text import lines_of, trimmed
-from lodeglass.operators import parse
+from lodeglass.functions.text import code_tokens, lines_of
+from lodeglass.operators import parse, rank, units
 
-CHUNK = "start_line int, end_line int, chunk_type string, identifier string"
+SPAN = "start_line: int, end_line: int, chunk_type: string, identifier: string"
 
 
 def _span(start: Column, end: Column, kind: str, identifier: Column | None = None) -> Column:
@@ -29,59 +29,40 @@ def window_spans(lines: Column, size: int = config.WINDOW_LINES, overlap: int =
     return F.transform(F.sequence(F.lit(0), n - 1, F.lit(size - overlap)), lambda i: _span(i + 1, F.least(i + size, n), "lines"))
 
 
-def unit_spans(lines: Column, language: Column) -> Column:
-    """Functions, then classes that no function and no class before holds; sections where there are none."""
+def unit_spans(lines: Column, language: Column, reach: units.Reach = units.REPORTED) -> Column:
+    """Functions, then classes that no function and no class before holds; sections where there are none.
 
-    def covered(c: Column, by: Column) -> Column:
-        return F.exists(by, lambda x: (x["start_line"] <= c["start_line"]) & (x["end_line"] >= c["end_line"]))
-
-    def units(functions: Column, classes: Column) -> Column:
-        fs = F.transform(functions, lambda f: _span(f["start_line"], f["end_line"], "function", f["name"]))
-        cs = F.transform(classes, lambda c: _span(c["start_line"], c["end_line"], "class", c["name"]))
-        free = F.filter(cs, lambda c, k: ~covered(c, fs) & ~covered(c, F.slice(cs, F.lit(1), k)))
-        return F.concat(fs, free)
-
-    def generic() -> Column:
-        flat = F.transform(lines, trimmed)
-        n = F.size(lines)
-
-        def chunk(sig: Column) -> Column:
-            at = F.array_position(flat, sig).cast("int")
-            name = F.element_at(F.split(F.split_part(sig, F.lit("("), F.lit(1)), r"\s+"), -1)
-            return _span(at, F.least(at + (config.SIGNATURE_LINES - 1), n), "function", name)
-
-        return F.transform(parse.all_signatures(lines, language), chunk)
-
-    found = (
-        F.when(language.isin("typescript", "javascript"), units(parse.brace_functions(lines), parse.brace_classes(lines)))
-        .when(language == "python", units(parse.indent_functions(lines), parse.indent_classes(lines)))
-        .otherwise(generic())
-    )
+    A signature of a language without a parser stands for the lines up to
+    `reach.signature`, or, where that is None, up to the next signature.
+    """
+    found = parse.per_file(lines, SPAN, lambda x, lang: units.unit_spans(x, lang, reach), language)
     return F.when(F.size(found) > 0, found).otherwise(section_spans(lines))
 
 
 def chunks(files: DataFrame, keys: list[str], spans, content: str = "content") -> DataFrame:
     """(keys, chunk_no, start_line, end_line, chunk_type, identifier, text); `spans` maps the lines array to spans.
 
-    Each file becomes its chunks within its row: nothing is shuffled.
+    Each file becomes its chunks within its row: nothing is shuffled, and the
+    file's lines aren't copied for each of its chunks.
     """
     lines = F.col("_lines")
     cut = files.where(F.col(content).isNotNull()).withColumn("_lines", lines_of(content))
-    each = cut.select(*keys, "_lines", F.posexplode(spans(lines)).alias("_k", "_s"))
-    text = F.array_join(F.slice(lines, F.col("_s.start_line"), F.col("_s.end_line") - F.col("_s.start_line") + 1), "\n")
-    return each.select(*keys, (F.col("_k") + 1).alias("chunk_no"), "_s.*", text.alias("text"))
+    cut = cut.select(*keys, "_lines", spans(lines).alias("_spans"))
+    text = lambda s: F.array_join(F.slice(lines, s["start_line"], s["end_line"] - s["start_line"] + 1), "\n")
+    each = F.transform("_spans", lambda s, k: F.struct((k + 1).alias("chunk_no"), *[s[c].alias(c) for c in ("start_line", "end_line", "chunk_type", "identifier")], text(s).alias("text")))
+    return cut.select(*keys, F.inline(each))
 
 
-def index_chunks(files: DataFrame, keys: list[str], content: str = "content", language: str = "language") -> DataFrame:
+def index_chunks(files: DataFrame, keys: list[str], content: str = "content", language: str = "language", reach: units.Reach = units.REPORTED) -> DataFrame:
     """Code units of code files, sliding windows of all others."""
     code = F.col(language).isin(config.CODE_LANGUAGES)
     parts = files.withColumn("_lang", F.col(language))
-    units = chunks(parts.where(code), [*keys, "_lang"], lambda x: unit_spans(x, F.col("_lang")), content).drop("_lang")
+    coded = chunks(parts.where(code), [*keys, "_lang"], lambda x: unit_spans(x, F.col("_lang"), reach), content).drop("_lang")
     windows = chunks(parts.where(~F.coalesce(code, F.lit(False))), keys, window_spans, content)
-    return units.unionByName(windows)
+    return coded.unionByName(windows)
 
 
-def extract_by_name(units: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def extract_by_name(found: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """The first chunk of each file whose identifier is `name`, in any case."""
-    hits = units.where(F.lower("identifier") == name.lower())
+    hits = found.where(F.lower("identifier") == name.lower())
     return hits.groupBy(*keys).agg(F.min_by(F.struct("chunk_no", "start_line", "end_line", "identifier", "text"), "chunk_no").alias("_c")).select(*keys, "_c.*")

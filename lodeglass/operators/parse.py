@@ -1,157 +1,96 @@
 """Functions, classes and imports of source files, as expressions over a file's array of lines.
 
-A header is found by pattern; how far it reaches is folded over the lines
-behind it, of which there are at most a few hundred. Everything happens within
-the file's row.
+What needs extents is worked out by `lodeglass.operators.units`, in one pass
+per file and a batch of files at a time; the rest stays in expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodeglass import config
-from lodeglass.functions.text import SPACE, trimmed
-
-# How functions begin in brace languages; a later pattern counts if the name before is a keyword.
-BRACE_FUNCTIONS = [
-    r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*[(<]",
-    r"^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\(",
-    r"^(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\w*\s*=>",
-    r"^\s+(?:(?:public|private|protected|static|async|override)\s*)*(\w+)\s*\(",
-]
-BRACE_CLASS = r"^(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"
-BRACE_METHOD = r"^\s+(?:(?:public|private|protected|static|async)\s*)*(\w+)\s*\("
-INTERFACE = r"^(?:export\s+)?interface\s+(\w+)"
-TYPE, ENUM = r"^(?:export\s+)?type\s+(\w+)", r"^(?:export\s+)?(?:const\s+)?enum\s+(\w+)"
-INDENT_FUNCTION, INDENT_CLASS, INDENT_METHOD = r"^(?:async\s+)?def\s+(\w+)\s*\(", r"^class\s+(\w+)", r"^\s+(?:async\s+)?def\s+(\w+)"
-# Signatures in other languages.
-SIGNATURES = {
-    "go": [r"^func\s+\w+", r"^func\s+\(\w+\s+\*?\w+\)\s+\w+"],
-    "rust": [r"^(?:pub\s+)?(?:async\s+)?fn\s+\w+", r"^(?:pub\s+)?struct\s+\w+", r"^(?:pub\s+)?impl\s+", r"^(?:pub\s+)?trait\s+\w+"],
-    "java": [r"^\s+(?:(?:public|private|protected|static|final)\s*)*+\s*\w+\s+\w+\s*\(", r"^(?:(?:public|private|protected)\s*)*\s*(?:class|interface|enum)\s+\w+"],
-    "csharp": [
-        r"^\s+(?:(?:public|private|protected|static|virtual|override|async)\s*)*+\s*\w+\s+\w+\s*\(",
-        r"^(?:(?:public|private|protected)\s*)*\s*(?:class|interface|struct|enum)\s+\w+",
-    ],
-    "cpp": [r"^\w[\w\s*&]+\s+\w+\s*\(", r"^class\s+\w+", r"^struct\s+\w+"],
-    "ruby": [r"^\s*def\s+\w+", r"^\s*class\s+\w+", r"^\s*module\s+\w+"],
-    "": [r"^\s*(?:function|def|func|fn|sub|method)\s+\w+"],
-}
-# Import lines in other languages.
-IMPORTS = {
-    "go": r'^import\s+["(]', "rust": r"^use\s+", "java": r"^import\s+", "csharp": r"^using\s+", "cpp": r"^#include\s+",
-    "ruby": r"^require\s+", "php": r"^(?:require|include|use)\s+",
-}
-
-
-def _first(line: Column, patterns: list[str], barred: list[str]) -> Column:
-    """Name that the first fitting pattern gives and that isn't barred, else null."""
-    names = [F.regexp_extract(line, p, 1) for p in patterns]
-    return F.coalesce(*[F.when((n != "") & ~n.isin(barred), n) for n in names])
-
-
-def _headers(lines: Column, name) -> Column:
-    """ARRAY<STRUCT(at, name, line)> of the lines to which `name` gives one."""
-    marked = F.transform(lines, lambda x, k: F.struct((k + 1).alias("at"), name(x).alias("name"), x.alias("line")))
-    return F.filter(marked, lambda h: h["name"].isNotNull())
-
-
-def _count(line: Column, sign: str) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(sign), F.lit("")))
-
+from lodeglass.functions.text import trimmed
+from lodeglass.operators import units
+from lodeglass.operators.patterns import (  # noqa: F401
+    BRACE_CLASS, BRACE_FUNCTIONS, BRACE_METHOD, DOCSTRING, ENUM, IMPORTS, INDENT_CLASS, INDENT_FUNCTION, INDENT_METHOD, INTERFACE, PYTHON_IMPORT, PYTHON_MODULE, SCRIPT_IMPORT, SIGNATURES, TYPE,
+)
 
-def brace_end(lines: Column, at: Column) -> Column:
-    """Last line of the brace block that the header at line `at` opens.
+UNIT = "name: string, start_line: int, end_line: int, signature: string"
+#: A class, with the names of its methods.
+CLASS = f"{UNIT}, methods: array<string>"
 
-    It ends where as many braces are closed as opened; if none comes up, at
-    the first blank line or one that ends in a semicolon, behind the header.
-    """
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(False).alias("over"))
 
-    def step(acc: Column, line: Column) -> Column:
-        n = acc["n"] + 1
-        depth = acc["depth"] + _count(line, "{") - _count(line, "}")
-        opened = acc["open"] | line.contains("{")
-        bare = (n > 1) & line.rlike(rf"^{SPACE}*\z|;{SPACE}*\z")
-        over = F.when(opened, depth <= 0).otherwise(bare)
-        moved = F.struct(n.alias("n"), depth.alias("depth"), opened.alias("open"), over.alias("over"))
-        return F.when(acc["over"], acc).otherwise(moved)
+def per_file(lines: Column, fields: str, make: Callable[[list[str]], list[tuple]], language: Column | None = None) -> Column:
+    """ARRAY<STRUCT<fields>> of what `make` says of each file's lines (and language); null for null lines."""
+    names = [f.split(":")[0].strip() for f in fields.split(", ")]
+    rows = lambda found: [dict(zip(names, x)) for x in found]
+    if language is None:
 
-    return at + F.aggregate(F.slice(lines, at, config.BRACE_LINES), start, step, lambda acc: acc["n"]) - 1
+        @F.pandas_udf(f"array<struct<{fields}>>")
+        def each(texts: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None else rows(make(list(x))) for x in texts], dtype=object)
 
+        return each(lines)
 
-def indent_end(lines: Column, at: Column) -> Column:
-    """Last line of the indented block below the header at line `at`: before the next unindented line but the first behind it."""
-    body = F.slice(lines, at, config.INDENT_LINES)
-    stop = F.filter(F.transform(body, lambda x, k: F.when((k > 1) & x.rlike(rf"^(?!{SPACE})."), k)), lambda k: k.isNotNull())
-    return at + F.coalesce(F.get(stop, F.lit(0)), F.size(body)) - 1
+    @F.pandas_udf(f"array<struct<{fields}>>")
+    def both(texts: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else rows(make(list(x), lang)) for x, lang in zip(texts, languages)], dtype=object)
 
+    return both(lines, language)
 
-def _spanned(headers: Column, lines: Column, end) -> Column:
-    return F.transform(
-        headers, lambda h: F.struct(h["name"].alias("name"), h["at"].alias("start_line"), end(lines, h["at"]).alias("end_line"), trimmed(h["line"]).alias("signature"))
-    )
 
+def _flat(found: list[units.Unit]) -> list[tuple]:
+    return [(u.name, u.start_line, u.end_line, u.signature, list(u.methods)) for u in found]
 
-def _with_methods(classes: Column, lines: Column, method) -> Column:
-    def names(c: Column) -> Column:
-        body = F.slice(lines, c["start_line"], c["end_line"] - c["start_line"] + 1)
-        return F.filter(F.transform(body, method), lambda m: m.isNotNull())
 
-    return F.transform(classes, lambda c: F.struct(c["name"].alias("name"), c["start_line"].alias("start_line"), c["end_line"].alias("end_line"), c["signature"].alias("signature"), names(c).alias("methods")))
+def brace_functions(lines: Column, reach: int | None = config.BRACE_LINES) -> Column:
+    """ARRAY<STRUCT(name, start_line, end_line, signature)>; a function reaches over at most `reach` lines, None for all."""
+    return per_file(lines, UNIT, lambda x: _flat(units.brace_functions(x, units.Braces(x), reach)))
 
 
-def brace_functions(lines: Column) -> Column:
-    """ARRAY<STRUCT(name, start_line, end_line, signature)>"""
-    return _spanned(_headers(lines, lambda x: _first(x, BRACE_FUNCTIONS, config.NO_FUNCTION)), lines, brace_end)
-
-
-def brace_classes(lines: Column) -> Column:
+def brace_classes(lines: Column, reach: int | None = config.BRACE_LINES) -> Column:
     """The same with `methods`, each name once."""
-    classes = _spanned(_headers(lines, lambda x: _first(x, [BRACE_CLASS], [])), lines, brace_end)
-    found = _with_methods(classes, lines, lambda x: _first(x, [BRACE_METHOD], config.NO_FUNCTION))
-    return F.transform(found, lambda c: c.withField("methods", F.array_distinct(c["methods"])))
+    return per_file(lines, CLASS, lambda x: _flat(units.brace_classes(x, units.Braces(x), reach)))
 
 
-def indent_functions(lines: Column) -> Column:
-    return _spanned(_headers(lines, lambda x: _first(x, [INDENT_FUNCTION], [])), lines, indent_end)
+def indent_functions(lines: Column, reach: int | None = config.INDENT_LINES) -> Column:
+    return per_file(lines, UNIT, lambda x: _flat(units.indent_functions(x, units.Indents(x), reach)))
 
 
-def indent_classes(lines: Column) -> Column:
-    classes = _spanned(_headers(lines, lambda x: _first(x, [INDENT_CLASS], [])), lines, indent_end)
-    return _with_methods(classes, lines, lambda x: _first(x, [INDENT_METHOD], []))
+def indent_classes(lines: Column, reach: int | None = config.INDENT_LINES) -> Column:
+    return per_file(lines, CLASS, lambda x: _flat(units.indent_classes(x, units.Indents(x), reach)))
 
 
 def named_lines(lines: Column, pattern: str) -> Column:
     """ARRAY<STRUCT(at, name, line)> of the lines that fit a pattern with one group."""
-    return _headers(lines, lambda x: _first(x, [pattern], []))
+    name = lambda x: F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
+    marked = F.transform(lines, lambda x, k: F.struct((k + 1).alias("at"), name(x).alias("name"), x.alias("line")))
+    return F.filter(marked, lambda h: h["name"].isNotNull())
 
 
 def docstring(content: Column) -> Column:
     """The first triple-quoted text that begins a line."""
-    pattern = r"(?ms)^(?:\"\"\"(.*?)\"\"\"|'''(.*?)''')"
-    return F.when(content.rlike(pattern), trimmed(F.concat(F.regexp_extract(content, pattern, 1), F.regexp_extract(content, pattern, 2))))
-
+    return F.when(content.rlike(DOCSTRING), trimmed(F.concat(F.regexp_extract(content, DOCSTRING, 1), F.regexp_extract(content, DOCSTRING, 2))))
 
 
 def all_signatures(lines: Column, language: Column) -> Column:
     """Trimmed signature lines of languages without a parser."""
 
-    def fits(line: Column) -> Column:
-        out = None
-        for lang, patterns in SIGNATURES.items():
-            if lang:
-                test = line.rlike("|".join(patterns))
-                out = F.when(language == lang, test) if out is None else out.when(language == lang, test)
-        return out.otherwise(line.rlike(SIGNATURES[""][0]))
+    @F.pandas_udf("array<string>")
+    def each(texts: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [s for _, s in units.signatures(list(x), lang)] for x, lang in zip(texts, languages)], dtype=object)
 
-    return F.transform(F.filter(lines, fits), trimmed)
+    return each(lines, language)
 
 
-def signatures(lines: Column, language: Column) -> Column:
-    """The first 50 of them, as a report lists them."""
-    return F.slice(all_signatures(lines, language), 1, config.SIGNATURES)
+def signatures(lines: Column, language: Column, limit: int | None = config.SIGNATURES) -> Column:
+    """The first `limit` of them, as a report lists them; None for all."""
+    found = all_signatures(lines, language)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def _fits(pattern: str):
@@ -160,9 +99,9 @@ def _fits(pattern: str):
 
 def imports(lines: Column, language: Column) -> Column:
     """Modules of import lines (script and Python files), or the lines themselves."""
-    script = F.transform(lines, lambda x: F.regexp_extract(x, r"""^import\s+.*\s+from\s+['"]([^'"]+)['"]""", 1))
-    python = F.transform(lines, lambda x: F.regexp_extract(x, r"^(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import)", 0))
-    python = F.transform(python, lambda x: F.regexp_extract(x, r"^\w+\s+([\w.]+)", 1))
+    script = F.transform(lines, lambda x: F.regexp_extract(x, SCRIPT_IMPORT, 1))
+    python = F.transform(lines, lambda x: F.regexp_extract(x, PYTHON_IMPORT, 0))
+    python = F.transform(python, lambda x: F.regexp_extract(x, PYTHON_MODULE, 1))
     flat = F.transform(lines, trimmed)
     out = F.when(language.isin("typescript", "javascript"), F.filter(script, lambda x: x != "")).when(language == "python", F.filter(python, lambda x: x != ""))
     for lang, pattern in IMPORTS.items():

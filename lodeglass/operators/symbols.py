@@ -5,77 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeglass.functions.text import content_hash, identifier_tokens, lines_of, query_terms, trimmed
-from lodeglass.operators import incremental, parse
+from lodeglass.functions.text import content_hash, identifier_tokens, lines_of, query_terms
+from lodeglass.operators import parse, units
 
 # Fixed value: kinds that a lookup can be limited to.
 KINDS = ["function", "class", "method", "interface", "type", "enum", "const", "block"]
 
 
-def _entry(name: Column, kind: str, line: Column, end: Column, signature: Column, container: Column | None = None) -> Column:
-    return F.struct(
-        name.alias("name"), F.lit(kind).alias("kind"), line.cast("int").alias("line"), end.cast("int").alias("end_line"), signature.alias("signature"),
-        (F.lit(None).cast("string") if container is None else container).alias("container"),
-    )
-
-
-def _methods(classes: Column, lines: Column) -> Column:
-    """An entry per method name, at the first line of its class that seems to call or define it."""
-
-    def of(c: Column) -> Column:
-        body = F.slice(lines, c["start_line"], c["end_line"] - c["start_line"] + 1)
-
-        def entry(m: Column) -> Column:
-            pattern = F.concat(F.lit(r"(?:^|\s)(?:(?:async|static|public|private|protected|override)\s+)*"), m, F.lit(r"\s*\("))
-            spots = F.filter(F.transform(body, lambda x, k: F.when(F.rlike(x, pattern), k)), lambda k: k.isNotNull())
-            at = c["start_line"] + F.get(spots, F.lit(0))
-            return _entry(m, "method", at, at, trimmed(F.get(lines, at - 1)), c["name"])
-
-        return F.filter(F.transform(c["methods"], entry), lambda e: e["line"].isNotNull())
-
-    return F.flatten(F.transform(classes, of))
-
-
-def _plain(lines: Column, pattern: str, kind: str) -> Column:
-    return F.transform(parse.named_lines(lines, pattern), lambda h: _entry(h["name"], kind, h["at"], h["at"], trimmed(h["line"])))
+#: An entry of the catalogue, without its file.
+ENTRY = "name: string, kind: string, line: int, end_line: int, signature: string, container: string"
 
 
-def symbols_of(lines: Column, language: Column, indented: bool = True) -> Column:
+def symbols_of(lines: Column, language: Column, indented: bool = True, reach: units.Reach = units.REPORTED) -> Column:
     """ARRAY of entries of a file, in the order in which they are found.
 
     With `indented`, signatures of other languages count wherever they stand;
-    without, only at the left margin.
+    without, only at the left margin. `units.WHOLE` as `reach` lets functions
+    and classes end where they end, however long they are.
     """
-    spans = lambda found, kind: F.transform(found, lambda f: _entry(f["name"], kind, f["start_line"], f["end_line"], f["signature"]))
-    classes, indents = parse.brace_classes(lines), parse.indent_classes(lines)
-    where = F.transform(lines, trimmed) if indented else lines
-
-    def signature(sig: Column) -> Column:
-        at = F.array_position(where, sig)
-        name = F.regexp_extract(sig, r"(\w+)\s*\(", 1)
-        if indented:  # a receiver is no name
-            name = F.regexp_extract(F.regexp_replace(sig, r"^func\s+\([^)]*\)", "func"), r"(\w+)\s*(?:<[^>(]*>)?\s*\(", 1)
-        return F.when((name != "") & (at > 0), _entry(name, "function", at, at, sig))
-
-    return (
-        F.when(language.isin("typescript", "javascript"), F.concat(
-            spans(parse.brace_functions(lines), "function"), spans(classes, "class"), _methods(classes, lines),
-            _plain(lines, parse.INTERFACE, "interface"), _plain(lines, parse.TYPE, "type"), _plain(lines, parse.ENUM, "enum"),
-        ))
-        .when(language == "python", F.concat(spans(parse.indent_functions(lines), "function"), spans(indents, "class"), _methods(indents, lines)))
-        .otherwise(F.filter(F.transform(parse.all_signatures(lines, language), signature), lambda e: e.isNotNull()))
-    )
+    return parse.per_file(lines, ENTRY, lambda x, lang: units.symbols(x, lang, reach, indented), language)
 
 
-def catalogue(files: DataFrame, keys: list[str], content: str = "content", language: str = "language") -> DataFrame:
+def catalogue(files: DataFrame, keys: list[str], content: str = "content", language: str = "language", reach: units.Reach = units.REPORTED) -> DataFrame:
     """(keys, language, name, kind, line, end_line, signature, container): one row per name and line of a file, the last found counts.
 
-    A method thus takes the place of the function that it was first taken for.
+    A method thus takes the place of the function that it was first taken
+    for. `files` has one row per file, so that this is settled within the row
+    and nothing is shuffled.
     """
-    each = files.where(F.col(content).isNotNull()).select(*keys, F.col(language).alias("language"), lines_of(content).alias("_lines"))
-    found = each.select(*keys, "language", F.posexplode(symbols_of(F.col("_lines"), F.col("language"))).alias("_k", "_e"))
-    last = found.groupBy(*keys, "language", "_e.name", "_e.line").agg(F.max_by("_e", "_k").alias("_e"))
-    return last.select(*keys, "language", "_e.*")
+    last = lambda x, lang: list({(e[0], e[2]): e for e in units.symbols(x, lang, reach)}.values())
+    found = files.where(F.col(content).isNotNull()).select(*keys, F.col(language).alias("language"), parse.per_file(lines_of(content), ENTRY, last, F.col(language)).alias("_found"))
+    return found.select(*keys, "language", F.inline("_found"))
 
 
 def find(symbols: DataFrame, name: str, kind: str | None = None, language: str | None = None, root: str | None = None, limit: int = 20) -> DataFrame:
@@ -118,14 +78,39 @@ def index_state(files: DataFrame, symbols: DataFrame, as_of: Column) -> DataFram
     )
 
 
-def refresh(files: DataFrame, symbols: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+def refresh(files: DataFrame, symbols: DataFrame, manifest: DataFrame, reach: units.Reach = units.REPORTED) -> tuple[DataFrame, DataFrame]:
     """(symbols, pending files) after indexing what is new or changed.
 
-    `manifest` has path and hash as of the last run. Symbols of changed and of
-    removed files go, those of unchanged files stay as they are.
+    `manifest` has path and hash as of the last run, `files` one row per path.
+    Symbols of changed and of removed files go, those of unchanged files stay
+    as they are. One join of hashes tells them apart; contents stay where they
+    were read.
+    """
+    known = manifest.select(F.col("path").alias("_path"), F.lower("hash").alias("_known"))
+    state = files.withColumn("hash", content_hash("content")).join(known, F.col("path") == F.col("_path"), "left")
+    same = F.coalesce(F.col("hash") == F.col("_known"), F.lit(False))
+    todo = state.where(~same).drop("_path", "_known")
+    kept = symbols.join(state.where(same).select("path"), "path", "left_semi")
+    return kept.unionByName(catalogue(todo, ["path"], reach=reach)), todo
+
+
+def changed_counts(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(scanned, indexed, added, changed, unchanged, removed), one row: what a refresh finds.
+
+    `files` has path and hash, or path and content; `manifest` path and hash.
     """
-    hashed = files.withColumn("hash", content_hash("content"))
-    todo = incremental.pending(hashed, manifest)
-    unchanged = hashed.select("path").join(todo.select("path"), "path", "left_anti")
-    kept = symbols.join(unchanged, "path", "left_semi")
-    return kept.unionByName(catalogue(todo, ["path"])), todo
+    now = files if "hash" in files.columns else files.withColumn("hash", content_hash("content"))
+    each = now.select("path", F.lower("hash").alias("_now"), F.lit(True).alias("_here")).join(
+        manifest.select("path", F.lower("hash").alias("_known"), F.lit(True).alias("_there")), "path", "full_outer"
+    )
+    here, there = F.col("_here").isNotNull(), F.col("_there").isNotNull()
+    same = F.coalesce(F.col("_now") == F.col("_known"), F.lit(False))
+    return each.agg(
+        F.count_if(here).alias("scanned"), F.count_if(here & ~same).alias("indexed"), F.count_if(here & ~there).alias("added"),
+        F.count_if(here & there & ~same).alias("changed"), F.count_if(same).alias("unchanged"), F.count_if(there & ~here).alias("removed"),
+    )
+
+
+def without_file(symbols: DataFrame, path: str) -> DataFrame:
+    """The catalogue after a file was invalidated."""
+    return symbols.where(~F.col("path").eqNullSafe(F.lit(path)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeglass import config
 from lodeglass.functions.text import code_tokens, content_hash, lines_of, query_terms
-from lodeglass.operators import chunk, diff, graph, parse, rank, symbols
+from lodeglass.operators import chunk, diff, graph, parse, patterns, rank, symbols
 from lodeglass.plans import samples
 from lodeglass.plans import sqltext as q
 from lodeglass.session import spread, table
