@@ -22,8 +22,8 @@ def _code(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of the pieces of files."""
-    rows = table(spark, d, "file_chunks").where("content IS NOT NULL").select("path", F.col("chunk_no").alias("part"), "content").distinct()
+    """Windows of the pieces of files; pieces delivered again are still there."""
+    rows = spread(table(spark, d, "file_chunks").where("content IS NOT NULL").select("path", F.col("chunk_no").alias("part"), "content"))
     return chunk.chunks(rows, ["path", "part"], chunk.window_spans)
 
 
@@ -42,17 +42,22 @@ def bm25_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_rank(spark: SparkSession, d: str) -> DataFrame:
-    return rank.scored_within(_parts(spark, d), ["path"], "text", QUERY).select("path", "part", "chunk_no", F.round("score", 6).alias("score"))
+    found = rank.chunk_scores(_parts(spark, d), ["path"], ["part", "chunk_no"], "text", QUERY)
+    return found.select("path", "part", "chunk_no", F.round("score", 6).alias("score"))
+
+
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of files with what ranking looks at; pieces delivered again are still there."""
+    rows = table(spark, d, "file_chunks").where("content IS NOT NULL").select("path", "chunk_no", "start_line", "chunk_type", "identifier", "content")
+    return spread(rows).withColumnRenamed("content", "text")
 
 
 def chunk_rerank(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "file_chunks").where("content IS NOT NULL").select("path", "chunk_no", "start_line", "chunk_type", "identifier", F.col("content").alias("text")).distinct()
-    return rank.reranked(rows, ["path"], "retry queue parser").select("path", "chunk_no", F.round("score", 6).alias("score"))
+    return rank.reranked(_units(spark, d).distinct(), ["path"], "retry queue parser").select("path", "chunk_no", F.round("score", 6).alias("score"))
 
 
 def smart_read(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "file_chunks").where("content IS NOT NULL").select("path", "chunk_no", "start_line", "chunk_type", "identifier", F.col("content").alias("text")).distinct()
-    return rank.smart_read(rows, ["path"], "retry queue parser").select("path", "chunk_no", F.round("score", 6).alias("score"), "tokens", "used")
+    return rank.smart_read(_units(spark, d), ["path"], "retry queue parser").select("path", "chunk_no", F.round("score", 6).alias("score"), "tokens", "used")
 
 
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:

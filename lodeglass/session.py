@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import shutil
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small enough to be broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of a scan up to which its rows may be spread over the cores by a shuffle.
+SPREAD_BYTES = 128 << 20
 
 
 def local_session(name: str = "lodeglass", cpus: int | None = None, partitions: int = 8) -> SparkSession:
@@ -22,6 +25,8 @@ def local_session(name: str = "lodeglass", cpus: int | None = None, partitions:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("LODEGLASS_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -42,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodeglass-checkpoint-"))
+    if not named:
+        named = tempfile.mkdtemp(prefix="lodeglass-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -75,14 +83,16 @@ def join_small_or_salted(left: DataFrame, right: DataFrame, keys: list[str], max
     return cut.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan, over as many partitions as there are cores if it comes in fewer; anything that shuffles as it is.
+def spread(scan: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """A scan of at most `max_bytes`, over as many partitions as there are cores if it comes in fewer; any other as it is.
 
-    For costly row-wise work on input that is small or in one file. At scale a
-    scan has many partitions, and nothing is shuffled.
+    For costly row-wise work on a table in one small file, which would else
+    keep one core busy. What may be shuffled for it is bounded, however many
+    cores a cluster has.
     """
     query, cores = scan._jdf.queryExecution(), scan.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in query.executedPlan().toString() or query.toRdd().getNumPartitions() >= cores:
+    size = int(str(query.optimizedPlan().stats().sizeInBytes()))
+    if size > max_bytes or query.toRdd().getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores)
 
