@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from operator import and_
 
-#: Names of the statistics, in the order of `statistics`.
+#: Names of the statistics, in the order of `statistics`. Those ending in share are shares of the text in units (paragraphs,
+#: lines that stand for themselves) that are long enough for sentences, laid out in columns or stamped, use common words
+#: as speech does, hold many signs, consist of words, end in punctuation; `common_share` and `opaque_share` are of words.
 NAMES = [
-    "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "common_run", "words_per_unit", "flow_share", "closed_share", "opaque_share",
+    "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "words_per_unit",
+    "long_share", "laid_share", "spoken_share", "marked_share", "worded_share", "closed_share", "opaque_share",
 ]
 
 #: Widths between which text is taken to be wrapped: narrower blocks are lists, wider lines whole paragraphs.
@@ -54,27 +55,28 @@ def _wrapped(block: list[str]) -> bool:
     return forced >= 0.75 * (len(block) - 1) and words >= 3.2 * (len(block) - 1)
 
 
-def units(text: str) -> Iterator[tuple[str, str]]:
-    """Paragraphs, unwrapped, and single lines; kind is ``text``, ``item`` (a line that stands for itself) or ``broken`` (laid out)."""
+def units(text: str) -> Iterator[tuple[str, str, bool]]:
+    """Paragraphs, unwrapped, and single lines; kind is ``text``, ``item`` (a line that stands for itself) or ``broken``; whether it is laid out."""
     block: list[str] = []
 
-    def flush() -> Iterator[tuple[str, str]]:
+    def flush() -> Iterator[tuple[str, str, bool]]:
         if len(block) == 1 or block and not _wrapped(block):
-            yield from ((x, "item") for x in block)
+            yield from ((x, "item", bool(_INDEX.search(x))) for x in block)
         elif block:
-            yield " ".join(block), "text"
+            unit = " ".join(block)
+            yield unit, "text", bool(_INDEX.search(unit))
         block.clear()
 
     for line in text.split("\n"):
         plain = line[_MARK.match(line).end():].strip()
         if not plain:
             yield from flush()
-        elif _STAMP.match(plain) or _COLUMNS.search(plain) or _TIGHT_COMMA.search(plain):
+        elif (stamp := _STAMP.match(plain)) or (columns := _COLUMNS.search(plain)) or _TIGHT_COMMA.search(plain):
             yield from flush()
-            yield plain, "broken"
+            yield plain, "broken", bool(stamp or columns or _INDEX.search(plain) or len(_TIGHT_COMMA.findall(plain)) >= 2)
         elif len(plain) > WIDEST:
             yield from flush()
-            yield plain, "text"
+            yield plain, "text", bool(_INDEX.search(plain))
         else:
             block.append(plain)
             if plain.endswith(":") and plain.count(" ") >= 4 and not _CODE.search(plain):  # what it announces is a block of its own
@@ -82,65 +84,48 @@ def units(text: str) -> Iterator[tuple[str, str]]:
     yield from flush()
 
 
-class Words:
-    """What is to be known of a token, looked up once for each distinct one.
+#: Bits of each counter in a token's number.
+_WIDTH = 40
+_LETTERS, _LENGTH, _WORDLIKE, _OPAQUE, _NAMES, _STOPS, _EMPTY, _SHARED = (k * _WIDTH for k in range(8))
+_MASK = (1 << _WIDTH) - 1
 
-    `of` gives (bare word, length, bits, languages): the word in lower case
-    without signs around it, its kinds as bits, and the languages of which it
-    is a common word as bits in the order of `languages`.
+
+class Words(dict):
+    """What is to be known of a token, as one number in which each counter has its own bits.
+
+    The numbers of many tokens add up to all their counts at once: tokens with
+    letters, letters, tokens like words, opaque ones, names, ones ending in a
+    stop, ones of signs only, and common words of each language in the order
+    of `languages`. Each distinct token is looked up once.
     """
 
-    LETTERS, WORDLIKE, OPAQUE, NAME, STOP, EMPTY = (1 << k for k in range(6))
     #: Distinct tokens remembered at a time.
     ROOM = 200_000
 
     def __init__(self, common: dict[str, frozenset[str]]):
-        self.common, self.languages, self._known = common, sorted(common), {}
-
-    def of(self, token: str) -> tuple[str, int, int, int]:
-        found = self._known.get(token)
-        if found is None:
-            if len(self._known) >= self.ROOM:
-                self._known.clear()
-            found = self._known[token] = self._look(token)
-        return found
+        super().__init__()
+        self.common, self.languages = common, sorted(common)
+        self.shifts = [_SHARED + k * _WIDTH for k in range(len(self.languages))]
 
-    def _look(self, token: str) -> tuple[str, int, int, int]:
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.ROOM:
+            self.clear()
         bare = _bare(token)
-        word, bits = bare.lower(), 0
+        word = bare.lower()
+        out = (1 << _STOPS) * token.endswith(_STOP)
         if not word:
-            bits |= self.EMPTY
+            out += 1 << _EMPTY
         else:
-            bits |= self.LETTERS * any(c.isalpha() for c in word)
+            if any(c.isalpha() for c in word):
+                out += (1 << _LETTERS) + (len(word) << _LENGTH)
             if _WORD.match(bare) or _NAME.match(bare):
-                bits |= self.WORDLIKE
+                out += 1 << _WORDLIKE
             elif not word.replace(".", "").replace(",", "").isdigit():
-                bits |= self.OPAQUE
-            bits |= self.NAME * ("_" in word or "/" in word)
-        bits |= self.STOP * token.endswith(_STOP)
-        return word, len(word), bits, sum((word in self.common[x]) << k for k, x in enumerate(self.languages))
-
-
-def _by_bit(counts: Counter, n: int) -> list[int]:
-    """How often each of `n` bits is set, from counted masks."""
-    return [sum(c for mask, c in counts.items() if mask >> k & 1) for k in range(n)]
-
-
-def _is_flow(unit: str, kind: str, known: list[tuple], n_languages: int) -> bool:
-    """Whether a unit reads as sentences; `known` is what `Words` says of its tokens."""
-    n = len(known)
-    if n < 6 or kind == "item" and n < 9 and not unit.endswith((*_STOP, ":")):
-        return False
-    if kind == "broken" and _STAMP.match(unit) or _INDEX.search(unit) or _COLUMNS.search(unit) or len(_TIGHT_COMMA.findall(unit)) >= 2:
-        return False
-    _, wordlike, _, names, stops, empty = _by_bit(Counter(x[2] for x in known), 6)
-    shared = max(_by_bit(Counter(x[3] for x in known), n_languages), default=0)
-    # names crowd the common words out of technical sentences, which then show by the names or by their full stops
-    technical = n >= 12 and 0.1 * n <= names <= 0.6 * n
-    least = 0.0 if technical or stops >= n / 40 else 0.05 * n
-    if not (wordlike >= 0.7 * n and least <= shared <= 0.64 * n + 2 and empty <= 0.15 * n):
-        return False
-    return len(_HARD.findall(unit)) <= 0.03 * len(unit)
+                out += 1 << _OPAQUE
+            out += (1 << _NAMES) * ("_" in word or "/" in word)
+            out += sum((word in self.common[x]) << s for x, s in zip(self.languages, self.shifts))
+        self[token] = out
+        return out
 
 
 def statistics(text: str, common: dict[str, frozenset[str]] | Words) -> tuple[str, list[float]] | None:
@@ -154,52 +139,46 @@ def statistics(text: str, common: dict[str, frozenset[str]] | Words) -> tuple[st
     if not text.strip():
         return None
     words = common if isinstance(common, Words) else Words(common)
-    of, n_languages = words.of, len(words.languages)
-    kinds, seen, firsts, both = Counter(), Counter(), Counter(), Counter()
-    held: list[tuple] = []  # tokens not yet counted; `end` closes each unit, so that no pair reaches over it
-    end = ("", 0, 0, 0)
-    chars = flow = closed = tokens_n = parts_n = letter_chars = 0
-
-    def count() -> int:
-        kinds.update([x[2] for x in held])
-        row = [x for x in held if x[1] or x is end]
-        masks = [x[3] for x in row]
-        seen.update(masks)
-        firsts.update([m for m, x in zip(masks, row[1:]) if x is not end])
-        both.update(map(and_, masks, masks[1:]))
-        return sum([x[1] for x in held if x[2] & 1])
-
-    visible = 0
-    for unit, kind in units(text):
+    look, shifts = words.__getitem__, words.shifts
+    chars = parts = n_tokens = visible = hard = 0
+    long = laid_out = spoken = marked = worded = closed = total = 0
+    for unit, kind, laid in units(text):
         tokens = unit.split()
-        known = [of(t) for t in tokens]
-        flow += _is_flow(unit, kind, known, n_languages) * len(unit)
-        closed += unit.endswith(_CLOSE) * len(unit)
-        parts_n += 1
-        tokens_n += len(tokens)
-        chars += len(unit)
-        visible += len(unit) - unit.count(" ")
-        held += known
-        held.append(end)
-        if len(held) > 20_000:
-            letter_chars += count()
-            held.clear()
-    letter_chars += count()
-    letters, _, opaque, _, _, empty = _by_bit(kinds, 6)
-    total = tokens_n - empty
-    shared, pairs, runs = (_by_bit(c, n_languages) for c in (seen, firsts, both))
-    best = max(range(n_languages), key=lambda k: (shared[k], -k), default=None)
-    common_n, pair_n, run_n = (0, 0, 0) if best is None else (shared[best], pairs[best], runs[best])
-    visible = visible or sum(not c.isspace() for c in text)
+        n, size = len(tokens), len(unit)
+        counts = sum(map(look, tokens))
+        signs = len(_HARD.findall(unit))
+        shared = max([counts >> s & _MASK for s in shifts], default=0)
+        names, stops = counts >> _NAMES & _MASK, counts >> _STOPS & _MASK
+        # names crowd the common words out of technical sentences, which then show by the names or by their full stops
+        technical = n >= 12 and 0.1 * n <= names <= 0.6 * n
+        if n >= 6 and (kind != "item" or n >= 9 or unit.endswith((*_STOP, ":"))):
+            long += size
+        if laid:
+            laid_out += size
+        if (0 if technical or stops >= n / 40 else 0.05 * n) <= shared <= 0.64 * n + 2:
+            spoken += size
+        if signs > 0.03 * size:
+            marked += size
+        if (counts >> _WORDLIKE & _MASK) >= 0.7 * n and (counts >> _EMPTY & _MASK) <= 0.15 * n:
+            worded += size
+        if unit.endswith(_CLOSE):
+            closed += size
+        chars, parts, n_tokens, total = chars + size, parts + 1, n_tokens + n, total + counts
+        visible += size - unit.count(" ")
+        hard += signs
+    letters, real = total >> _LETTERS & _MASK, n_tokens - (total >> _EMPTY & _MASK)
+    shared = [total >> s & _MASK for s in shifts]
+    best = max(range(len(shifts)), key=lambda k: (shared[k], -k), default=None)
+    if not visible:  # nothing but marks of lists
+        visible, hard = sum(not c.isspace() for c in text), len(_HARD.findall(text))
+    of_text = [x / chars if chars else 0.0 for x in (long, laid_out, spoken, marked, worded, closed)]
     return "" if best is None else words.languages[best], [
-        math.log1p(total),
-        min(letter_chars / letters, 20.0) if letters else 20.0,
-        len(_HARD.findall(text)) / visible,
+        math.log1p(real),
+        min((total >> _LENGTH & _MASK) / letters, 20.0) if letters else 20.0,
+        hard / visible,
         len(_DIGIT.findall(text)) / visible,
-        common_n / letters if letters else 0.0,
-        run_n / pair_n if pair_n else 0.0,
-        math.log1p(min(tokens_n / parts_n, 30.0)) if parts_n else 0.0,
-        flow / chars if chars else 0.0,
-        closed / chars if chars else 0.0,
-        opaque / total if total else 1.0,
+        shared[best] / letters if best is not None and letters else 0.0,
+        math.log1p(min(n_tokens / parts, 30.0)) if parts else 0.0,
+        *of_text,
+        (total >> _OPAQUE & _MASK) / real if real else 1.0,
     ]

@@ -85,23 +85,22 @@ def test_contributions_and_fit_against_numpy(frames):
     for r in stats.collect():
         x.setdefault(r["language"], []).append(r["stats"])
     models = prose.fit_prose(stats.repartition(5), rounds=2)
-    flow = NAMES.index("flow_share")
+    common, closed = NAMES.index("common_share"), NAMES.index("closed_share")
+    overall = np.diag(np.var(np.array([v for k, vs in x.items() if k for v in vs]), axis=0))
     for language, values in x.items():
         if not language:
             continue
         v = np.array(values)
-        w = (v[:, flow] >= prose.SEED_FLOW).astype(float)
+        w = ((v[:, common] >= prose.SEED_COMMON) & (v[:, closed] >= prose.SEED_CLOSED)).astype(float)
         for _ in range(2):
             mean = np.average(v, axis=0, weights=w)
-            cov = np.cov(v.T, aweights=w, bias=True)
-            floors = np.array(list(prose.FLOORS.values()))
-            np.fill_diagonal(cov, np.maximum(np.diag(cov), floors**2))
+            cov = (1 - prose.SHRINKAGE) * np.cov(v.T, aweights=w, bias=True) + prose.SHRINKAGE * overall
             d = v - mean
             d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
             n = len(NAMES)
             last, w = mean, np.where(d2 > 8 * n, 0, np.minimum(1, 2 * n / np.maximum(d2, 1e-9)))
         assert np.allclose(models[language].mean, last)
-        assert np.allclose(models[language].inverse, np.linalg.inv(cov), rtol=1e-4)
+        assert np.allclose(models[language].inverse, np.linalg.inv(cov), rtol=1e-4, atol=1e-6)
     for r in prose.prose_distances(stats, models).collect():
         assert sum(r["contributions"]) == pytest.approx(r["distance"]) and r["distance"] >= -1e-9
 
@@ -109,8 +108,32 @@ def test_contributions_and_fit_against_numpy(frames):
 def test_cutoff(spark):
     d = spark.createDataFrame([(k, float(2**k)) for k in range(10)], "doc_id bigint, distance double")
     label = lambda *x: spark.createDataFrame([(k, "other" if k >= 6 else "prose") for k in x], "doc_id bigint, label string")
-    assert prose.cutoff(d, label(*range(10))) == pytest.approx(2**5.5)
-    assert prose.cutoff(d, label(1, 2)) == prose.cutoff(d, label(8, 9)) == prose.cutoff(d, label()) == prose.cutoff(d, None) == prose.HALF
+    assert prose.cutoff(d, label(*range(10)), 30.0) == pytest.approx(2**5.5)
+    assert prose.cutoff(d, label(1, 2), 30.0) == prose.cutoff(d, label(8, 9), 30.0) == prose.cutoff(d, label(), 30.0) == prose.cutoff(d, None, 30.0) == 30.0
+
+
+def test_no_statistic_decides_alone(frames):
+    """Without any one statistic the others still tell prose from the rest."""
+    data, docs, words, _ = frames
+    rows_ = prose.text_statistics(docs.where("doc_id < 9000"), words).collect()
+    x, kind = np.array([r["stats"] for r in rows_]), np.array([data[r["doc_id"]][0] == "other" for r in rows_])
+    language = np.array([r["language"] for r in rows_])
+    for left_out in range(len(NAMES)):
+        kept = [k for k in range(len(NAMES)) if k != left_out]
+        v, d2 = x[:, kept], np.zeros(len(x))
+        for lang in {*language}:
+            at = language == lang if lang else language != "none"
+            z = v[at]
+            w = ((x[at][:, NAMES.index("common_share")] >= prose.SEED_COMMON) & (x[at][:, NAMES.index("closed_share")] >= prose.SEED_CLOSED)).astype(float)
+            for _ in range(prose.ROUNDS):
+                mean = np.average(z, axis=0, weights=w)
+                cov = (1 - prose.SHRINKAGE) * np.cov(z.T, aweights=w, bias=True) + prose.SHRINKAGE * np.diag(np.var(v, axis=0))
+                now = np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean)
+                w = np.where(now > 8 * len(kept), 0, np.minimum(1, 2 * len(kept) / np.maximum(now, 1e-9)))
+            d2[language == lang] = now[language[at] == lang]
+        order = np.argsort(d2)
+        wrong = min(np.sum(kind[order[:k]]) + np.sum(~kind[order[k:]]) for k in range(len(x) + 1))
+        assert wrong <= 0.06 * len(x), NAMES[left_out]
 
 
 def test_empty_tables(spark, frames):
