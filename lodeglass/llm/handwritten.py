@@ -2,10 +2,21 @@
 
 A repository may say so itself, in attribute files (``.gitattributes``) whose
 globs take precedence by folder and line. For repositories that declare
-nothing, equivalent patterns decide: fixed ones, and names of libraries mined
-from the collection itself. What the file's beginning shows (a generator's
-notice, another project's licence line, packed code, tables of numbers)
-completes them.
+nothing, equivalent patterns are mined from the collection:
+
+* libraries, kept in versioned folders of several repositories, and the
+  folders right below which mostly such libraries stand, mark vendored files,
+  as does a header that names a library with a version;
+* generators, named by the standard marks of generated files in several
+  repositories, and folders and endings of names under which files with such
+  evidence stand far more often than elsewhere, mark generated files;
+* phrases of headers that stand under those folders and endings far more often
+  than elsewhere mark generated files as well, wherever they are;
+* endings of names whose files are packed mark minified files.
+
+What content shows by itself (packed code, tables of numbers, standard marks)
+counts as it is. Conventional names complete the mined ones, which matters in
+collections too small to mine.
 """
 
 from __future__ import annotations
@@ -16,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeglass.session import broadcast_if_small, join_small_or_salted
+from lodeglass.session import broadcast_if_small, cut_lineage, join_small_or_salted, spread
 
 # Folder names, in lower case, under which generators or build tools write.
 GENERATED_DIRS = ["gen", "generated", "__generated__", "_generated", "autogen", "auto-generated", "codegen", "codegen-out", "generated-src", "generated_src"]
@@ -34,15 +45,19 @@ GENERATED_NAMES = (
 MINIFIED_NAMES = r"(?:[.-]min|\.bundle|[.-]pack|\.prod)\.(?:js|mjs|cjs|css)$|\.chunk[-.][\w-]*(?:\.js|\.mjs|\.css)?$|[.-][0-9a-f]{8,}\.(?:chunk\.)?(?:js|mjs|css)$"
 # Names of tables kept as code.
 DATA_NAMES = r"(?:^|[_-])(?:blob|data|lookup|table)(?:[_-][0-9a-z]+)?\.\w+$"
-# What generators write at the top of a file.
+# The standard marks of generated files, from which the generators' names are mined.
+GENERATED_MARKS = [r"@generated\b", r"<auto-?generated", r"\bcode generated (?:by|from|with)\b.*\bdo not edit"]
+# Fixed value: how a header names its generator.
+GENERATOR = r"\b(?:generated|created|produced|written) (?:by|with|from) (?:the )?([a-z][a-z0-9_-]{2,})"
+# Conventional notices of generated files.
 GENERATED_NOTICES = [
-    r"@generated\b", r"<auto-?generated", r"\bauto-?generated (?:file|code|by|from|source)", r"\bautomatically (?:generated|created|produced|written) (?:by|from|with|using)",
+    r"\bauto-?generated (?:file|code|by|from|source)", r"\bautomatically (?:generated|created|produced|written) (?:by|from|with|using)",
     r"\bcode generated (?:by|from|with)\b", r"\bgenerated (?:source|file|code)\b\s*[:;,.-]", r"\bmachine[- ](?:made|generated|written)\b",
     r"\bthis (?:file|code|source) (?:was|is|has been) (?:auto\w*[ -])?(?:produced|generated) (?:by|from|with|using)\b",
-    r"\bwritten by the [\w.-]+ tool\b", r"\b(?:manual )?(?:edits|changes) (?:are|will be|get) (?:overwritten|lost|discarded)", r"\bnever modify by hand\b",
-    r"\bdo not (?:edit|modify|change)(?: this file| by hand| manually| directly)?\s*(?:[.!;]|-|\*|$)", r"\bplease change the template\b", r"\bgenerated by (?:the )?[\w.-]+ (?:compiler|generator)\b",
+    r"\b(?:manual )?(?:edits|changes) (?:are|will be|get) (?:overwritten|lost|discarded)",
+    r"\bdo not (?:edit|modify|change)(?: this file| by hand| manually| directly)?\s*(?:[.!;]|-|\*|$)", r"\bgenerated by (?:the )?[\w.-]+ (?:compiler|generator)\b",
 ]
-# What copies of other projects' files say at the top.
+# Conventional notices of copies of other projects' files.
 VENDOR_NOTICES = [
     r"\boriginally (?:part of|from|taken from) [\w@/.-]+ v?\d", r"\bredistributed under\b", r"\bcopied (?:without changes|verbatim|unmodified)\b", r"\bupstream: [\w@/.-]+ v?\d",
     r"\bkept in sync with (?:its )?upstream\b", r"(?:^|\s)[\w@/.-]+ v?\d+\.\d+[\w.-]* \| (?:\(c\)|copyright|mit\b|licen)", r"(?:^|\s)[\w@/.-]+ v?\d+\.\d+[\w.-]* https?://\S*licen[cs]e",
@@ -54,8 +69,17 @@ _COMMENT = r"(?://[^\n]*|#[^\n]*|--[^\n]*|;[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->
 # Languages of documents and settings, in which data is at home.
 NO_CODE = ["yaml", "json", "toml", "markdown", "text", "plaintext", "csv", "xml"]
 _NO_CODE_NAMES = r"\.(?:ya?ml|jsonl?|toml|mdx?|txt|rst|csv|tsv|xml|ini|cfg|lock)$"
-#: Comments at the top of a file that count as its header.
-HEADER_COMMENTS = 60
+#: Repositories in which a pattern must be seen before it counts.
+MIN_ROOTS = 2
+#: Share of evidence among the files with a pattern that must be sure, and how many standard errors make it so. Elsewhere
+#: a few files in a hundred are generated; under a generator's folder at least every third shows it.
+SURE_SHARE, ERRORS = 0.15, 2.6
+#: Share of packed files from which an ending of names is one of minified files, and the least number of them.
+PACKED_SHARE, MIN_PACKED = 0.8, 3
+#: Share of libraries among what stands right below a folder from which it is one for vendored files.
+LIBRARY_SHARE = 0.5
+#: Words of a header phrase.
+PHRASE_WORDS = 3
 
 
 # -- attribute files ---------------------------------------------------------
@@ -108,7 +132,7 @@ def attribute_rules(contents: DataFrame, root_col: str = "root", path_col: str =
     )
     parts = F.split(F.trim(F.col("line")), r"\s+")
     marks = lines.where(~F.col("line").rlike(r"^\s*(?:#|$)")).select(
-        "root_path", "folder", "line_no", F.get(parts, F.lit(0)).alias("glob"), F.explode(F.slice(parts, 2, 1000)).alias("mark")
+        "root_path", "folder", "line_no", F.get(parts, F.lit(0)).alias("glob"), F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).alias("mark")
     )
     found = F.regexp_extract("mark", r"^([-!]?)(?:linguist-)?(generated|vendored)(?:=(.*))?$", 2)
     value = ~F.regexp_extract("mark", r"^([-!]?)", 1).isin("-", "!") & ~F.lower(F.regexp_extract("mark", r"=(.*)$", 1)).isin("false", "0", "no")
@@ -141,26 +165,14 @@ def _name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
-def mined_libraries(files: DataFrame, min_roots: int = 2) -> DataFrame:
-    """(library): names kept with a version, or right below a vendor folder, in at least `min_roots` repositories.
-
-    Only names that are found with a version somewhere count: folders such as
-    ``src`` stand below vendor folders too.
-    """
-    dirs = files.select("root_path", _folders(F.col("path")).alias("d"))
-    versioned = F.filter(F.transform("d", lambda x: F.regexp_extract(x, _VERSIONED, 1)), lambda x: x != "")
-    vendor = F.array(*map(F.lit, VENDOR_DIRS))
-    below = F.filter(F.transform("d", lambda x, k: F.when(F.array_contains(vendor, F.get(F.col("d"), k - 1)), x)), lambda x: x.isNotNull())
-    seen = dirs.select("root_path", F.explode(F.concat(
-        F.transform(versioned, lambda x: F.struct(x.alias("library"), F.lit(1).alias("v"))), F.transform(below, lambda x: F.struct(x.alias("library"), F.lit(0).alias("v"))),
-    )).alias("s"))
-    counts = seen.groupBy("s.library", "root_path").agg(F.max("s.v").alias("v")).groupBy("library").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v"))
-    return counts.where((F.col("n") >= min_roots) & (F.col("v") == 1)).select("library")
+def without_header(text: Column) -> Column:
+    """A text without the comments at its top, however many they are."""
+    return F.regexp_replace(text, rf"\G\s*(?:{_COMMENT})\s*", "")
 
 
 def header_text(text: Column) -> Column:
     """The comments at the top of a file as one lower-case line without comment marks."""
-    top = F.regexp_extract(text, rf"^\s*(?:{_COMMENT}\s*){{0,{HEADER_COMMENTS}}}+", 0)
+    top = F.substring(text, F.lit(1), F.length(text) - F.length(without_header(text)))
     bare = F.regexp_replace(top, r"(?m)^\s*(?://+!?|#+!?|/\*+!?|\*+/?|--+|;+|<!--)|\*+/|-->|[-=*_]{4,}", " ")
     return F.trim(F.regexp_replace(F.lower(bare), r"\s+", " "))
 
@@ -191,41 +203,163 @@ def _data(body: Column) -> Column:
     return table | blob
 
 
-def classify(files: DataFrame, contents: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """(root_path, path, kind, reason): one row per file, kind null for what is written by hand.
+# -- mining ------------------------------------------------------------------
+_ID = ["root_path", "path"]
+_HEAD_WORD = r"([a-z][a-z0-9_-]*)"
 
-    `files` has root_path, path, language and line_count, one row per file and
-    scan (the greatest line count counts); `contents` has root, path and
-    content. kind is ``generated``, ``minified``, ``vendored`` or ``data``, the
-    first that holds in the order declared marks, vendored, generated,
-    minified, data. Files without content are judged by path and line count.
-    A declared false mark takes its kind back. Null roots and paths are left
-    out.
+
+def observed(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """(root_path, path, language, line_count, has, head, packed, data), one row per file of `files`.
+
+    What a content shows is worked out where it is read; contents themselves
+    are never shuffled. Of several contents of a file that with the greatest
+    hash counts, of several scans the greatest line count.
     """
     known = (
-        files.where("root_path IS NOT NULL AND path IS NOT NULL").groupBy("root_path", "path")
+        files.where("root_path IS NOT NULL AND path IS NOT NULL").groupBy(*_ID)
         .agg(F.max("line_count").alias("line_count"), F.max(F.lower("language")).alias("language"))
     )
-    texts = (
-        contents.where("root IS NOT NULL AND path IS NOT NULL AND content IS NOT NULL").groupBy(F.col("root").alias("root_path"), "path")
-        .agg(F.max("content").alias("content"))
-        .withColumn("content", F.regexp_replace("content", "^\ufeff|\r", ""))
+    text = F.regexp_replace("content", "^\ufeff|\r", "")
+    kept = spread(contents.where("root IS NOT NULL AND path IS NOT NULL AND content IS NOT NULL").select("root", "path", "content"))
+    kept = kept.select(F.col("root").alias("root_path"), "path", text.alias("_text"))
+    body = without_header(F.col("_text"))
+    shown = kept.select(*_ID, F.struct(F.xxhash64("_text").alias("h"), header_text(F.col("_text")).alias("head"), _packed(body).alias("packed"), _data(body).alias("data")).alias("_s"))
+    one = shown.groupBy(*_ID).agg(F.max("_s").alias("_s"))
+    return known.join(one, _ID, "left").select(
+        *_ID, "language", "line_count", F.col("_s").isNotNull().alias("has"), F.coalesce("_s.head", F.lit("")).alias("head"), *[F.coalesce(f"_s.{c}", F.lit(False)).alias(c) for c in ("packed", "data")]
     )
-    rules = attribute_rules(contents) if rules is None else rules
-    marks = declared(known, rules).groupBy("root_path", "path").agg(
+
+
+def versioned(folders: Column) -> Column:
+    """Names of libraries in the names of folders that end in a version."""
+    return F.filter(F.transform(folders, lambda x: F.regexp_extract(x, _VERSIONED, 1)), lambda x: x != "")
+
+
+def _in_several(found: DataFrame, name: str, min_roots: int) -> DataFrame:
+    """Names seen in at least `min_roots` repositories; `found` has root_path and name."""
+    return found.distinct().groupBy(name).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_roots).select(name)
+
+
+def mined_libraries(files: DataFrame, min_roots: int = MIN_ROOTS) -> DataFrame:
+    """(library): names that folders carry with a version, or right below a vendor folder, in at least `min_roots` repositories.
+
+    Only names that are found with a version somewhere count: folders such as
+    ``src`` stand below vendor folders too.
+    """
+    d = _folders(F.col("path"))
+    vendor = F.array(*map(F.lit, VENDOR_DIRS))
+    below = F.filter(F.transform(d, lambda x, k: F.when((k > 0) & F.array_contains(vendor, F.get(d, k - 1)), x)), lambda x: x.isNotNull())
+    mark = lambda names, v: F.transform(names, lambda x: F.struct(x.alias("library"), F.lit(v).alias("v")))
+    seen = files.select("root_path", F.explode(F.concat(mark(versioned(d), 1), mark(below, 0))).alias("_s"))
+    each = seen.groupBy("_s.library", "root_path").agg(F.max("_s.v").alias("v")).groupBy("library").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v"))
+    return each.where((F.col("n") >= min_roots) & (F.col("v") == 1)).select("library")
+
+
+def vendor_folders(files: DataFrame, libraries: DataFrame, min_roots: int = MIN_ROOTS, share: float = LIBRARY_SHARE) -> DataFrame:
+    """(folder): folders below which at least `share` of the files stand in a library's folder, in several repositories."""
+    d = _folders(F.col("path"))
+    pairs = files.select("root_path", F.explode(F.transform(d, lambda x, k: F.struct(x.alias("folder"), F.get(d, k + 1).alias("child")))).alias("_p")).select("root_path", "_p.*")
+    counts = pairs.groupBy("root_path", "folder", "child").agg(F.count(F.lit(1)).alias("n"))
+    known = libraries.select(F.col("library").alias("child"), F.lit(True).alias("_lib"))
+    each = counts.join(known, "child", "left").groupBy("folder", "root_path").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("_lib"), F.col("n")).otherwise(0)).alias("k"))
+    sums = each.groupBy("folder").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k") > 0).alias("roots"))
+    return sums.where((F.col("k") >= share * F.col("n")) & (F.col("roots") >= min_roots)).select("folder")
+
+
+def path_features(path: Column) -> Column:
+    """ARRAY<STRUCT(type, value)>: what a path may be known by: its folders, the last part of its name, its last capital word."""
+    name = _name(path)
+    tail = F.regexp_extract(F.lower(name), r"([._-][a-z][^._-]*\.[a-z0-9]+)$", 1)
+    capital = F.regexp_extract(name, r"[a-z0-9]([A-Z][a-z]+\.[a-z]+)$", 1)
+    named = F.array(F.struct(F.lit("tail").alias("type"), tail.alias("value")), F.struct(F.lit("capital").alias("type"), capital.alias("value")))
+    folders = F.transform(F.array_distinct(_folders(path)), lambda x: F.struct(F.lit("folder").alias("type"), x.alias("value")))
+    return F.filter(F.concat(folders, named), lambda x: x["value"] != "")
+
+
+def header_phrases(head: Column) -> Column:
+    """Distinct runs of `PHRASE_WORDS` words of a header; the whole header if it has fewer."""
+    words = F.regexp_extract_all(head, F.lit(_HEAD_WORD), F.lit(1))
+    runs = words
+    for k in range(2, PHRASE_WORDS + 1):  # word by word, so that no word list is made anew for each of its words
+        runs = F.zip_with(runs, F.slice(words, F.lit(k), F.greatest(F.size(words), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
+    return F.array_distinct(F.slice(runs, F.lit(1), F.greatest(F.size(words) - (PHRASE_WORDS - 1), F.lit(1))))
+
+
+def _sure(k: str, n: str, z: float = ERRORS) -> Column:
+    """Lower bound of a share, `z` standard errors below what was seen (Wilson's)."""
+    p, size = F.col(k) / F.col(n), F.col(n)
+    return (p + z * z / (2 * size) - z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size))) / (1 + z * z / size)
+
+
+def _evidence(found: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
+    """(by, n, and for each flag k_<flag> and roots_<flag>): rows, rows with the flag, and repositories with such rows."""
+    each = found.groupBy(*by, "root_path").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f)).alias(f"k_{f}") for f in flags])
+    return each.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(f"k_{f}").alias(f"k_{f}") for f in flags], *[F.count_if(F.col(f"k_{f}") > 0).alias(f"roots_{f}") for f in flags])
+
+
+def _flagged(base: DataFrame, hits: DataFrame, flag: str) -> DataFrame:
+    """`base` with a column that says whether `hits` (root_path, path) names the file."""
+    return base.join(hits.distinct().withColumn("_hit", F.lit(True)), _ID, "left").withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def mined(files: DataFrame, min_roots: int = MIN_ROOTS) -> DataFrame:
+    """(root_path, path, vendors, generates, minifies): what the mined patterns say of each file of `observed`.
+
+    `files` is read several times; cut its lineage first. Each pattern is
+    counted over all files; only patterns leave a count, and the few that are
+    found are broadcast if their number is small, else joined by shuffle.
+    """
+    # vendored: libraries, their folders, and headers that name one with a version
+    libraries = cut_lineage(mined_libraries(files, min_roots))
+    folders = vendor_folders(files, libraries, min_roots)
+    vendor = libraries.select(F.col("library").alias("value")).unionByName(folders.select(F.col("folder").alias("value"))).distinct().select(F.lit("folder").alias("type"), "value", F.lit("vendors").alias("says"))
+    named = F.regexp_extract_all("head", F.lit(r"(?<![\w-])([a-z][\w-]*)[ @(]+v?\d+\.\d"), F.lit(1))
+    releases = files.where(F.col("head").rlike(r"\d\.\d")).select(*_ID, F.explode(F.array_distinct(named)).alias("library")).join(broadcast_if_small(libraries), "library", "left_semi")
+
+    # generated: marks name generators; generators' names, folders and endings, phrases
+    marked = files.withColumn("mark", F.col("head").rlike(_any(GENERATED_MARKS)))
+    makers = marked.where("mark").select("root_path", F.explode(F.regexp_extract_all("head", F.lit(GENERATOR), F.lit(1))).alias("word"))
+    makers = broadcast_if_small(cut_lineage(_in_several(makers, "word", min_roots)))
+    words = F.array_distinct(F.regexp_extract_all("head", F.lit(_HEAD_WORD), F.lit(1)))
+    made = files.where("head <> ''").select(*_ID, F.explode(words).alias("word")).join(makers, "word", "left_semi")
+    shown = cut_lineage(_flagged(marked, made, "made").withColumn("made", F.col("mark") | F.col("made")))
+    features = shown.select(*_ID, "has", "made", "packed", F.explode(path_features(F.col("path"))).alias("_f")).select(*_ID, "has", "made", "packed", "_f.*")
+    counts = _evidence(features.where("has"), ["type", "value"], ["made", "packed"])
+    makes = (_sure("k_made", "n") >= SURE_SHARE) & (F.col("roots_made") >= min_roots)
+    packs = (F.col("type") != "folder") & (F.col("k_packed") >= PACKED_SHARE * F.col("n")) & (F.col("k_packed") >= MIN_PACKED) & (F.col("roots_packed") >= min_roots)
+    says = F.when(packs, "minifies").when(makes, "generates")
+    paths = cut_lineage(counts.select("type", "value", says.alias("says")).where("says IS NOT NULL").unionByName(vendor))
+    by_path = cut_lineage(features.select(*_ID, "type", "value").join(broadcast_if_small(paths), ["type", "value"]).select(*_ID, "says").distinct())
+    placed = _flagged(shown.where("head <> ''").select(*_ID, "head"), by_path.where("says = 'generates'").select(*_ID), "placed")
+    phrases = placed.select(*_ID, "placed", F.explode(header_phrases(F.col("head"))).alias("phrase"))
+    told = cut_lineage(_evidence(phrases, ["phrase"], ["placed"]).where((_sure("k_placed", "n") >= SURE_SHARE) & (F.col("roots_placed") >= min_roots)).select("phrase"))
+    by_phrase = phrases.join(broadcast_if_small(told), "phrase", "left_semi")
+
+    hits = by_path
+    for found, what in ((releases, "vendors"), (shown.where("made"), "generates"), (by_phrase, "generates")):
+        hits = hits.unionByName(found.select(*_ID, F.lit(what).alias("says")))
+    return hits.groupBy(*_ID).agg(*[F.bool_or(F.col("says") == w).alias(w) for w in ("vendors", "generates", "minifies")])
+
+
+def classify(files: DataFrame, contents: DataFrame, rules: DataFrame | None = None, min_roots: int = MIN_ROOTS) -> DataFrame:
+    """(root_path, path, kind, reason): one row per file, kind null for what is written by hand.
+
+    `files` has root_path, path, language and line_count, one row per file and
+    scan; `contents` has root, path and content. kind is ``generated``,
+    ``minified``, ``vendored`` or ``data``; reason says by what: what the
+    repository declares, mined patterns, content, and conventional names, in
+    this order. Files without content are judged by path and line count. A
+    declared false mark takes its kind back. Null roots and paths are left
+    out.
+    """
+    base = cut_lineage(observed(files, contents))
+    rules = cut_lineage(attribute_rules(contents)) if rules is None else rules
+    marks = declared(base, rules).groupBy(*_ID).agg(
         F.max(F.when(F.col("kind") == "generated", F.col("value"))).alias("says_generated"), F.max(F.when(F.col("kind") == "vendored", F.col("value"))).alias("says_vendored"),
     )
-    # a library is a folder name kept in several repositories: a list that grows far slower than the files
-    mined = broadcast_if_small(mined_libraries(known).withColumnRenamed("library", "_library"))
-    named = known.select("root_path", "path", F.explode(F.array_distinct(_folders(F.col("path")))).alias("_library"))
-    copies = named.join(mined, "_library", "left_semi").select("root_path", "path").distinct().withColumn("mined", F.lit(True))
-
-    joined = known.join(texts, ["root_path", "path"], "left").join(marks, ["root_path", "path"], "left").join(copies, ["root_path", "path"], "left")
-    path, folders, name = F.col("path"), _folders(F.col("path")), _name(F.col("path"))
-    head, text = header_text(F.col("content")), F.col("content")
-    body = F.regexp_replace(text, rf"^\s*(?:{_COMMENT}\s*){{0,{HEADER_COMMENTS}}}+", "")
-    script = F.lower(name).rlike(r"\.(?:js|mjs|cjs)$")
-    no_text = text.isNull()
+    joined = base.join(marks, _ID, "left").join(mined(base, min_roots), _ID, "left")
+    path, folders, name, head = F.col("path"), _folders(F.col("path")), _name(F.col("path")), F.col("head")
+    script, no_text = F.lower(name).rlike(r"\.(?:js|mjs|cjs)$"), ~F.col("has")
     code = ~F.lower(name).rlike(_NO_CODE_NAMES) & ~F.coalesce(F.col("language"), F.lit("")).isin(NO_CODE)
     # a mark that is taken back rules its kind out, not the others
     vendor, generated = (F.coalesce(F.col(f"says_{k}"), F.lit(True)) for k in ("vendored", "generated"))
@@ -233,18 +367,20 @@ def classify(files: DataFrame, contents: DataFrame, rules: DataFrame | None = No
     reason = (
         F.when(F.col("says_vendored"), "vendored:declared")
         .when(F.col("says_generated"), "generated:declared")
+        .when(vendor & F.col("vendors"), "vendored:mined")
+        .when(generated & F.col("generates"), "generated:mined")
+        .when(F.col("minifies"), "minified:mined")
+        .when(code & F.col("data"), "data:content")
+        .when(F.col("packed"), "minified:content")
+        .when(vendor & (F.size(versioned(folders)) > 0), "vendored:version")
         .when(vendor & F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_DIRS))), "vendored:folder")
-        .when(vendor & F.exists(folders, lambda x: x.rlike(_VERSIONED)), "vendored:version")
-        .when(vendor & F.col("mined"), "vendored:mined")
-        .when(vendor & head.rlike(_any(VENDOR_NOTICES)) & ~_packed(body), "vendored:notice")
+        .when(vendor & head.rlike(_any(VENDOR_NOTICES)), "vendored:notice")
         .when(generated & F.arrays_overlap(folders, F.array(*map(F.lit, GENERATED_DIRS))), "generated:folder")
         .when(generated & name.rlike(f"(?i){GENERATED_NAMES}"), "generated:name")
-        .when(generated & head.rlike(_any(GENERATED_NOTICES)), "generated:notice")
+        .when(generated & head.rlike(_any(GENERATED_MARKS + GENERATED_NOTICES)), "generated:notice")
         .when(F.lower(name).rlike(MINIFIED_NAMES), "minified:name")
-        .when(code & _data(body), "data:content")
-        .when(_packed(body), "minified:content")
         .when(no_text & script & (F.col("line_count") <= 5), "minified:lines")
         .when(numbers & (F.lower(name).rlike(DATA_NAMES) | F.array_contains(folders, "data") | F.array_contains(folders, "resources")), "data:lines")
         .when(code & no_text & F.lower(name).rlike(DATA_NAMES) & (F.col("line_count") <= 5), "data:name")
     )
-    return joined.select("root_path", "path", F.split_part(reason, F.lit(":"), F.lit(1)).alias("kind"), reason.alias("reason"))
+    return joined.select(*_ID, F.split_part(reason, F.lit(":"), F.lit(1)).alias("kind"), reason.alias("reason"))

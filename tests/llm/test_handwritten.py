@@ -87,3 +87,41 @@ def test_nulls_repeats_and_empty_tables(spark):
 def test_long_text(spark):
     got = classified(spark, [("/r", "a.ts", 10, "// x\n" * 100_000 + CODE), ("/r", "b.ts", 10, "/* " + "y " * 300_000), ("/r", "c.ts", 10, " " * 300_000), ("/r", "d.ts", 10, "1, " * 200_000)])
     assert got["/r", "a.ts"] is None and len(got) == 4
+
+
+def test_headers_of_any_number_of_comments_are_read_whole(spark):
+    lines = "".join(f"// remark {k} on the cache\n" for k in range(3000))
+    got = classified(spark, [("/r", "a.ts", 10, lines + "// Code generated by foo. DO NOT EDIT.\n" + CODE), ("/r", "b.ts", 10, lines + CODE), ("/r", "c.ts", 10, lines + "m=1;" * 200)])
+    assert got == {("/r", "a.ts"): "generated", ("/r", "b.ts"): None, ("/r", "c.ts"): "minified"}
+
+
+def test_marks_beyond_the_thousandth_count(spark):
+    many = " ".join(f"mark{k}" for k in range(1500))
+    got = classified(spark, [("/r", "a.ts", 10, CODE), ("/r", ".gitattributes", 1, f"*.ts {many} linguist-generated\n")])
+    assert got["/r", "a.ts"] == "generated"
+
+
+def test_patterns_are_mined_from_marks_of_several_repositories(spark):
+    """Made-up folders, endings, generators and phrases, of which no list knows; only a few files carry the standard mark."""
+    entries = []
+    for k in range(120):
+        root = f"/r{k % 4}"
+        note = f"// Code generated by weavekit. DO NOT EDIT.\n{CODE}" if k % 3 == 0 else CODE
+        entries += [(root, f"src/out_{k % 4}/woven/part{k}.ts", 10, note), (root, f"src/m{k}.woven.ts", 10, f"// Wove by machine from shape {k}, leave alone.\n{CODE}" if k % 2 else f"// Code generated by weavekit. DO NOT EDIT.\n{CODE}")]
+        entries += [(root, f"src/hand/n{k}.ts", 10, f"// Looks after shape {k}, with care.\n{CODE}"), (root, f"lib/q{k}.packd.js", 3, "m=1;f(e[7],!0);" * 40)]
+    entries += [
+        ("/s", "x/woven/a.ts", 10, None), ("/s", "x/b.woven.ts", 10, None), ("/s", "x/c.packd.js", 30, None), ("/s", "x/d.ts", 10, "// By weavekit, as ever.\n" + CODE),
+        ("/s", "x/e.ts", 10, "// Wove by machine from shape 7, leave alone.\n" + CODE), ("/s", "x/f.ts", 10, "// Looks after shape 3, with care.\n" + CODE), ("/s", "x/hand/g.ts", 10, None),
+    ]
+    got = classified(spark, entries)
+    assert {p: k for (r, p), k in got.items() if r == "/s"} == {
+        "x/woven/a.ts": "generated", "x/b.woven.ts": "generated", "x/c.packd.js": "minified", "x/d.ts": "generated", "x/e.ts": "generated", "x/f.ts": None, "x/hand/g.ts": None
+    }
+    assert all(k is None for (_, p), k in got.items() if "/hand/" in p)
+
+
+def test_vendor_folders_and_headers_follow_from_libraries(spark):
+    entries = [("/a", "lib/foo-1.2.0/a.ts", 9, CODE), ("/b", "lib/foo-1.3.0/a.ts", 9, CODE), ("/b", "attic/foo/a.ts", 9, CODE), ("/c", "attic/foo/b.ts", 9, CODE), ("/c", "attic/bar/c.ts", 9, CODE)]
+    entries += [("/d", "x.ts", 9, "// Taken over: foo 2.1, whole.\n" + CODE), ("/d", "y.ts", 9, "// Works with baz 2.1 only.\n" + CODE)] + [("/d", f"lib/own{k}/a.ts", 9, CODE) for k in range(6)]
+    got = classified(spark, entries)
+    assert got["/c", "attic/bar/c.ts"] == "vendored" and got["/d", "x.ts"] == "vendored" and got["/d", "y.ts"] is None and got["/d", "lib/own1/a.ts"] is None
