@@ -291,6 +291,11 @@ def _sure(k: str, n: str, z: float = ERRORS) -> Column:
     return (p + z * z / (2 * size) - z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size))) / (1 + z * z / size)
 
 
+def _far_above(usual: float | None) -> float:
+    """The share from which evidence is more than the usual one."""
+    return max(SURE_SHARE, 2 * (usual or 0.0))
+
+
 def _evidence(found: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
     """(by, n, and for each flag k_<flag> and roots_<flag>): rows, rows with the flag, and repositories with such rows."""
     each = found.groupBy(*by, "root_path").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f)).alias(f"k_{f}") for f in flags])
@@ -325,14 +330,15 @@ def mined(files: DataFrame, min_roots: int = MIN_ROOTS) -> DataFrame:
     shown = cut_lineage(_flagged(marked, made, "made").withColumn("made", F.col("mark") | F.col("made")))
     features = shown.select(*_ID, "has", "made", "packed", F.explode(path_features(F.col("path"))).alias("_f")).select(*_ID, "has", "made", "packed", "_f.*")
     counts = _evidence(features.where("has"), ["type", "value"], ["made", "packed"])
-    makes = (_sure("k_made", "n") >= SURE_SHARE) & (F.col("roots_made") >= min_roots)
+    usual, usual_head = shown.agg(F.avg(F.when(F.col("has"), F.col("made").cast("int"))), F.avg(F.when(F.col("head") != "", F.col("made").cast("int")))).first()
+    makes = (_sure("k_made", "n") >= _far_above(usual)) & (F.col("roots_made") >= min_roots)
     packs = (F.col("type") != "folder") & (F.col("k_packed") >= PACKED_SHARE * F.col("n")) & (F.col("k_packed") >= MIN_PACKED) & (F.col("roots_packed") >= min_roots)
     says = F.when(packs, "minifies").when(makes, "generates")
     paths = cut_lineage(counts.select("type", "value", says.alias("says")).where("says IS NOT NULL").unionByName(vendor))
     by_path = cut_lineage(features.select(*_ID, "type", "value").join(broadcast_if_small(paths), ["type", "value"]).select(*_ID, "says").distinct())
     placed = _flagged(shown.where("head <> ''").select(*_ID, "head"), by_path.where("says = 'generates'").select(*_ID), "placed")
     phrases = placed.select(*_ID, "placed", F.explode(header_phrases(F.col("head"))).alias("phrase"))
-    told = cut_lineage(_evidence(phrases, ["phrase"], ["placed"]).where((_sure("k_placed", "n") >= SURE_SHARE) & (F.col("roots_placed") >= min_roots)).select("phrase"))
+    told = cut_lineage(_evidence(phrases, ["phrase"], ["placed"]).where((_sure("k_placed", "n") >= _far_above(usual_head)) & (F.col("roots_placed") >= min_roots)).select("phrase"))
     by_phrase = phrases.join(broadcast_if_small(told), "phrase", "left_semi")
 
     hits = by_path

@@ -109,6 +109,7 @@ def test_patterns_are_mined_from_marks_of_several_repositories(spark):
         note = f"// Code generated by weavekit. DO NOT EDIT.\n{CODE}" if k % 3 == 0 else CODE
         entries += [(root, f"src/out_{k % 4}/woven/part{k}.ts", 10, note), (root, f"src/m{k}.woven.ts", 10, f"// Wove by machine from shape {k}, leave alone.\n{CODE}" if k % 2 else f"// Code generated by weavekit. DO NOT EDIT.\n{CODE}")]
         entries += [(root, f"src/hand/n{k}.ts", 10, f"// Looks after shape {k}, with care.\n{CODE}"), (root, f"lib/q{k}.packd.js", 3, "m=1;f(e[7],!0);" * 40)]
+    entries += [(f"/r{k % 4}", f"src/hand/more/h{k}.ts", 10, f"// Looks after shape {k}, with care.\n{CODE}" if k % 2 else CODE) for k in range(1200)]
     entries += [
         ("/s", "x/woven/a.ts", 10, None), ("/s", "x/b.woven.ts", 10, None), ("/s", "x/c.packd.js", 30, None), ("/s", "x/d.ts", 10, "// By weavekit, as ever.\n" + CODE),
         ("/s", "x/e.ts", 10, "// Wove by machine from shape 7, leave alone.\n" + CODE), ("/s", "x/f.ts", 10, "// Looks after shape 3, with care.\n" + CODE), ("/s", "x/hand/g.ts", 10, None),
@@ -117,7 +118,7 @@ def test_patterns_are_mined_from_marks_of_several_repositories(spark):
     assert {p: k for (r, p), k in got.items() if r == "/s"} == {
         "x/woven/a.ts": "generated", "x/b.woven.ts": "generated", "x/c.packd.js": "minified", "x/d.ts": "generated", "x/e.ts": "generated", "x/f.ts": None, "x/hand/g.ts": None
     }
-    assert all(k is None for (_, p), k in got.items() if "/hand/" in p)
+    assert all(k is None for (_, p), k in got.items() if "/hand/" in p or "/more/" in p)
 
 
 def test_vendor_folders_and_headers_follow_from_libraries(spark):
