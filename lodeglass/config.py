@@ -11,7 +11,6 @@ BUDGET_WARNING, BUDGET_CRITICAL = 80_000, 150_000
 CONTEXT_LIMIT, WATCH_WARNING, WATCH_CRITICAL, WATCH_EMERGENCY = 180_000, 0.70, 0.85, 0.95
 LOG_CONTEXT, LOG_ENTRIES, LOG_LEVEL_ENTRIES = 3, 200, 100
 SEARCH_RESULTS, SEARCH_CONTEXT = 50, 2
-MAP_FILES = 1_000
 SECTION_LINES = 30
 WINDOW_LINES, WINDOW_OVERLAP = 60, 10
 BRACE_LINES, INDENT_LINES, SIGNATURES, SIGNATURE_LINES = 200, 300, 50, 60

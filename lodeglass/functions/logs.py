@@ -23,11 +23,12 @@ def line_level(line: Column) -> Column:
     return out
 
 
-def dedupe_key(message: Column) -> Column:
-    """Messages that differ in times, UUIDs and numbers only have the same key."""
+def dedupe_key(message: Column, chars: int | None = config.DEDUPE_CHARS) -> Column:
+    """Messages that differ in times, UUIDs and numbers only, in their first `chars` characters or (None) at all, have the same key."""
     x = F.regexp_replace(message, _TIME, "<TIME>")
     x = F.regexp_replace(x, _UUID, "<UUID>")
-    return F.substring(F.regexp_replace(x, rf"{_OPEN}\d+{_CLOSE}", "<N>"), 1, config.DEDUPE_CHARS)
+    x = F.regexp_replace(x, rf"{_OPEN}\d+{_CLOSE}", "<N>")
+    return x if chars is None else F.substring(x, 1, chars)
 
 
 def display_message(message: Column) -> Column:

@@ -71,6 +71,11 @@ def stat_hash(modified_ms: Column | str, size: Column | str) -> Column:
     return content_hash(F.concat_ws(":", _col(modified_ms).cast("string"), _col(size).cast("string")))
 
 
+def is_changed(old_stat: Column, new_stat: Column, old_hash: Column, new_hash: Column) -> Column:
+    """Whether a file changed: not if time and size are as they were, else if its content's hash differs; null hashes differ from all."""
+    return ~old_stat.eqNullSafe(new_stat) & ~F.coalesce(F.lower(old_hash) == F.lower(new_hash), F.lit(False))
+
+
 # -- identifiers -------------------------------------------------------------
 def identifier_tokens(x: Column | str) -> Column:
     """The identifier in lower case and its parts by signs, case changes and acronyms, each once, in order."""
@@ -151,6 +156,22 @@ def relative_path(path: Column | str, root: Column | str) -> Column:
     return F.when(below, F.substr(path, F.length(root) + 2)).otherwise(path)
 
 
+def normal_path(path: Column | str) -> Column:
+    """A path with slashes only and without ``.`` and ``..`` steps; ``..`` above the top is dropped."""
+    x = F.replace(_col(path), F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(x, "/"), lambda p: (p != "") & (p != "."))
+    empty = F.array().cast("array<string>")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, empty, lambda acc, p: F.when(p == "..", up(acc)).otherwise(F.concat(acc, F.array(p))))
+    return F.concat(F.when(x.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+
+
+def resolved_path(path: Column | str, base: Column | str) -> Column:
+    """The path seen from a base folder: itself if it begins with a slash, else below the base; without ``.`` and ``..`` steps."""
+    path = _col(path)
+    return normal_path(F.when(path.startswith("/"), path).otherwise(F.concat(_col(base), F.lit("/"), path)))
+
+
 def compound_key(*parts: Column | str) -> Column:
     """One text for several key columns; null if any of them is."""
     cols = [_col(p).cast("string") for p in parts]

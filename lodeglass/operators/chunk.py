@@ -66,3 +66,19 @@ def extract_by_name(found: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """The first chunk of each file whose identifier is `name`, in any case."""
     hits = found.where(F.lower("identifier") == name.lower())
     return hits.groupBy(*keys).agg(F.min_by(F.struct("chunk_no", "start_line", "end_line", "identifier", "text"), "chunk_no").alias("_c")).select(*keys, "_c.*")
+
+
+def extract(found: DataFrame, name: str, keys: list[str], budget: int = config.SNIPPET_BUDGET) -> DataFrame:
+    """(keys, chunk_no, start_line, end_line, identifier, exact): the unit of that name in each file, else the best chunk for it.
+
+    Where no unit bears the name, the file's chunks are ranked for it and
+    packed into the budget; the first one kept stands in, `exact` being false.
+    """
+    spans = ["chunk_no", "start_line", "end_line", "identifier"]
+    named = extract_by_name(found, name, keys).select(*keys, *spans, F.lit(True).alias("exact"))
+    others = found.join(named.select(*keys), keys, "left_anti").select(*keys, *spans, "text")
+    scores = rank.chunk_scores(others, keys, [*spans, "tokens"], "text", name, tokens=code_tokens("text")).where("score > 0")
+    order = [F.col("score").desc(), F.col("chunk_no")]
+    kept = rank.packed(scores.withColumn("score", F.round("score", 9)), keys, order, "tokens", budget)
+    best = kept.groupBy(*keys).agg(F.min_by(F.struct(*spans), F.struct(-F.col("score"), "chunk_no")).alias("_c")).select(*keys, "_c.*", F.lit(False).alias("exact"))
+    return named.unionByName(best)

@@ -28,8 +28,13 @@ def most_imported(edges: DataFrame, target: str = "target", limit: int = 20) ->
     return in_degree(edges, target).orderBy(F.col("degree").desc(), target).limit(limit)
 
 
+def sources_of(edges: DataFrame, source: str = "path", target: str = "target") -> DataFrame:
+    """(target, source), each once: a target that everybody imports fills many rows, not one."""
+    return edges.select(target, F.col(source).alias("source")).distinct()
+
+
 def imported_by(edges: DataFrame, source: str = "path", target: str = "target") -> DataFrame:
-    """(target, sources): who imports it, each once, in order."""
+    """(target, sources): who imports it, each once, in order; one row per target, so for targets of few sources only."""
     return edges.groupBy(target).agg(F.array_sort(F.collect_set(source)).alias("sources"))
 
 
@@ -37,6 +42,36 @@ def nodes(edges: DataFrame, source: str = "path", target: str = "target") -> Dat
     return edges.select(F.col(source).alias("node")).union(edges.select(F.col(target).alias("node"))).distinct()
 
 
+def file_links(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst): imports that lead from file to file, each as ``root/path``, once."""
+    to = resolved(edges, files)
+    return to.select(F.concat_ws("/", "root", "path").alias("src"), F.concat_ws("/", "root", "file").alias("dst")).distinct()
+
+
+def file_graph(edges: DataFrame, files: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
+    """(node, level, imports, imported_by): the files within `depth` imports of the `start` files (node).
+
+    `imports` counts a node's import lines, `imported_by` the nodes of the
+    graph that lead to it.
+    """
+    links = cut_lineage(file_links(edges, files))
+    found = reachable(links, start, depth)
+    out = edges.groupBy(F.concat_ws("/", "root", "path").alias("node")).agg(F.count(F.lit(1)).alias("imports"))
+    # the deepest nodes' own imports aren't followed
+    inner = links.join(found.where(F.col("level") < depth).select(F.col("node").alias("src")), "src", "left_semi")
+    into = inner.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("imported_by"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return found.join(out, "node", "left").join(into, "node", "left").select("node", "level", zero("imports"), zero("imported_by"))
+
+
+def project_nodes(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(node, imports, imported_by) of all files, as ``root/path``, and of all modules as they are written; repeats counted."""
+    named = edges.select(F.concat_ws("/", "root", "path").alias("src"), "target")
+    each = files.select(F.concat_ws("/", "root", "path").alias("node"), F.lit(0).alias("o"), F.lit(0).alias("i"))
+    each = each.unionAll(named.select("src", F.lit(1), F.lit(0))).unionAll(named.select("target", F.lit(0), F.lit(1)))
+    return each.groupBy("node").agg(F.sum("o").alias("imports"), F.sum("i").alias("imported_by"))
+
+
 def _normal(path):
     """A path without ``.`` and ``..`` steps."""
     empty = F.array().cast("array<string>")

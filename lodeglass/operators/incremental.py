@@ -102,9 +102,15 @@ class Ledger:
     ``pending/<batch>`` what the batch has to do, frozen when it first began;
     ``output/batch=<batch>`` its result; ``manifest/batch=<batch>`` the keys
     and checksums (with `size`, that column too) it covers; ``commits/<batch>``
-    a small file that makes the batch count. Works on any file system that Hadoop knows.
+    a small file that makes the batch count. Of two batches that hold a key
+    the one committed later counts. Keys that a complete listing no longer has
+    are noted as gone. `compact` puts the manifests of all batches so far into
+    one. Works on any file system that Hadoop knows.
     """
 
+    #: How the manifests begin that `compact` writes.
+    SNAPSHOT = "snapshot."
+
     def __init__(self, spark: SparkSession, root: str, key: str = "path", checksum: str = "hash", size: str | None = None):
         self.spark, self.root, self.key, self.checksum, self.size = spark, root.rstrip("/"), key, checksum, size
         self._state = [checksum, size] if size else [checksum]
@@ -113,13 +119,17 @@ class Ledger:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # -- commits ---------------------------------------------------------
-    def committed(self) -> list[str]:
-        """Identifiers of the batches that count, oldest first (a bounded list: one per run)."""
+    def _commits(self) -> list[str]:
+        """Names of commits, oldest first (a bounded list: one per run)."""
         at = self._path(f"{self.root}/commits")
         if not self._fs.exists(at):
             return []
         found = [(s.getModificationTime(), s.getPath().getName()) for s in self._fs.listStatus(at)]
-        return [name for _, name in sorted(found) if not name.startswith("_")]
+        return [name for _, name in sorted(found) if not name.startswith(("_", "."))]
+
+    def committed(self) -> list[str]:
+        """Identifiers of the batches that count, oldest first."""
+        return [name for name in self._commits() if not name.startswith(self.SNAPSHOT)]
 
     def _commit(self, batch: str, about: dict) -> None:
         tmp, to = self._path(f"{self.root}/commits/_{batch}"), self._path(f"{self.root}/commits/{batch}")
@@ -129,56 +139,94 @@ class Ledger:
         if not self._fs.rename(tmp, to) and not self._fs.exists(to):
             raise OSError(f"batch {batch} couldn't be committed")
 
-    def _read(self, kind: str) -> DataFrame | None:
-        paths = [f"{self.root}/{kind}/batch={b}" for b in self.committed()]
+    def _about(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/commits/{name}"))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+
+    def _live(self) -> list[str]:
+        """Manifests to read, oldest first: the last snapshot and what it doesn't cover."""
+        names = self._commits()
+        last = max((n for n in names if n.startswith(self.SNAPSHOT)), key=names.index, default=None)
+        if last is None:
+            return names
+        covered = set(self._about(last)["covers"])
+        return [last, *(n for n in names if n not in covered and not n.startswith(self.SNAPSHOT))]
+
+    def _read(self, kind: str, names: list[str]) -> DataFrame | None:
+        paths = [f"{self.root}/{kind}/batch={b}" for b in names]
         paths = [p for p in paths if self._fs.exists(self._path(p))]
         return self.spark.read.option("basePath", f"{self.root}/{kind}").option("mergeSchema", kind == "manifest").parquet(*paths) if paths else None
 
+    def _latest(self, gone: bool = False) -> DataFrame | None:
+        """(key, checksum and size, of): each key's latest state and the batch that holds its output; with `gone`, gone ones too."""
+        names = self._live()
+        rows = self._read("manifest", names)
+        if rows is None:
+            return None
+        for c, kind in ((self.size, "bigint"), ("gone", "boolean"), ("of", "string")):  # batches from before these were kept
+            if c and c not in rows.columns:
+                rows = rows.withColumn(c, F.lit(None).cast(kind))
+        order = self.spark.createDataFrame(list(enumerate(names)), "_seq int, batch string")
+        state = F.struct(*self._state, F.coalesce("gone", F.lit(False)).alias("gone"), F.coalesce("of", F.col("batch").cast("string")).alias("of"))
+        # one row per run
+        last = rows.withColumn("batch", F.col("batch").cast("string")).join(F.broadcast(order), "batch").groupBy(self.key).agg(F.max_by(state, "_seq").alias("_r"))
+        kept = last.select(self.key, "_r.*")
+        return kept if gone else kept.where("NOT gone")
+
     # -- reading ---------------------------------------------------------
     def manifest(self) -> DataFrame:
-        """(key, checksum), with `size` (key, checksum, size): the latest committed state of each key."""
-        rows = self._read("manifest")
+        """(key, checksum), with `size` (key, checksum, size): the latest committed state of each key that isn't gone."""
+        rows = self._latest()
         if rows is None:
             return self.spark.createDataFrame([], f"`{self.key}` string, `{self.checksum}` string" + (f", `{self.size}` bigint" if self.size else ""))
-        if self.size and self.size not in rows.columns:  # all batches are from before sizes were kept
-            rows = rows.withColumn(self.size, F.lit(None).cast("bigint"))
-        return (
-            rows.groupBy(self.key)
-            .agg(F.max(F.struct("seq", *self._state)).alias("_r"))
-            .select(self.key, *[F.col(f"_r.{c}").alias(c) for c in self._state])
-        )
+        return rows.select(self.key, *self._state)
 
     def output(self) -> DataFrame | None:
         """All committed output rows, each with its batch."""
-        return self._read("output")
+        return self._read("output", self.committed())
 
     def current_output(self) -> DataFrame | None:
-        """Output rows of each key's latest batch only."""
-        out, rows = self.output(), self._read("manifest")
-        if out is None or rows is None:
+        """Output rows of each present key's latest batch only."""
+        out, last = self.output(), self._latest()
+        if out is None or last is None:
             return None
-        last = rows.groupBy(self.key).agg(F.max_by("batch", "seq").alias("batch"))
-        return out.join(last, [self.key, "batch"], "left_semi")
+        return out.withColumn("batch", F.col("batch").cast("string")).join(last.select(self.key, F.col("of").alias("batch")), [self.key, "batch"], "left_semi")
 
     # -- running ---------------------------------------------------------
-    def run(self, batch: str, listing: DataFrame, work: Callable[[DataFrame], DataFrame]) -> bool:
+    def run(self, batch: str, listing: DataFrame, work: Callable[[DataFrame], DataFrame], complete: bool = False) -> bool:
         """Process what is pending as batch `batch`; False if it was committed before.
 
         `work` takes the pending rows and returns output rows that keep the
         key column. A retry after a failure works on the same frozen rows.
+        `complete` says that the listing names all there is: keys that it
+        doesn't name are gone, with their output, until they come back.
         """
-        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch) or batch.startswith(self.SNAPSHOT):
             raise ValueError(f"not a batch identifier: {batch!r}")
-        done = self.committed()
-        if batch in done:
+        if batch in self.committed():
             return False
         frozen = f"{self.root}/pending/{batch}"
         if not self._fs.exists(self._path(f"{frozen}/_SUCCESS")):
             pending(listing, self.manifest(), self.key, self.checksum, self.size).write.mode("overwrite").parquet(frozen)
         todo = self.spark.read.parquet(frozen)
         work(todo).write.mode("overwrite").parquet(f"{self.root}/output/batch={batch}")
-        todo.select(self.key, *self._state, F.lit(len(done)).alias("seq")).write.mode("overwrite").parquet(
-            f"{self.root}/manifest/batch={batch}"
-        )
-        self._commit(batch, {"batch": batch, "seq": len(done)})
+        done = todo.select(self.key, *self._state, F.lit(False).alias("gone"))
+        if complete:
+            lost = removed(listing, self.manifest(), self.key)
+            done = done.unionByName(lost.select(self.key, *[F.lit(None).cast(todo.schema[c].dataType).alias(c) for c in self._state], F.lit(True).alias("gone")))
+        done.write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
+        self._commit(batch, {"batch": batch})
         return True
+
+    def compact(self, name: str) -> None:
+        """Put the manifests so far into one, under the name ``snapshot.<name>``; keys that are gone leave it. Batches committed meanwhile stay."""
+        covers = [n for n in self._live()]
+        rows = self._latest()
+        if rows is None:
+            return
+        rows.write.mode("overwrite").parquet(f"{self.root}/manifest/batch={self.SNAPSHOT}{name}")
+        earlier = [n for n in self._commits() if n.startswith(self.SNAPSHOT)]
+        known = {x for n in earlier for x in self._about(n)["covers"]}
+        self._commit(f"{self.SNAPSHOT}{name}", {"covers": sorted(known | set(covers))})

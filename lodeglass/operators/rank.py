@@ -89,13 +89,15 @@ def scored_within(docs: DataFrame, groups: list[str], text: Column | str, query:
     return _within(_counted(docs, F.col(text) if isinstance(text, str) else text, terms), groups, len(terms)).drop("_dl", "_f")
 
 
-def chunk_scores(chunks: DataFrame, groups: list[str], keys: list[str], text: str, query: str) -> DataFrame:
+def chunk_scores(chunks: DataFrame, groups: list[str], keys: list[str], text: str, query: str, **made: Column) -> DataFrame:
     """(groups, keys, score): `scored_within` for chunks of which nothing but keys and scores is wanted.
 
     Each text is looked at once, and what is shuffled are numbers. Repeated
-    rows count once.
+    rows count once. `made` are further columns among `keys`, worked out with
+    the counts.
     """
     terms = query_terms(query)
+    chunks = chunks.withColumns(made) if made else chunks
     counted = _counted(chunks, F.col(text), terms) if terms else chunks.withColumn("_f", F.lit(0)).withColumn("_dl", F.lit(0))
     measured = cut_lineage(counted.select(*groups, *keys, "_dl", "_f", F.xxhash64(text).alias("_h")).distinct().drop("_h"))
     found = _within(measured, groups, len(terms)) if terms else measured.withColumn("score", F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeglass import config
@@ -12,10 +12,11 @@ from lodeglass.functions.text import context_around, extension, lines_of, trimme
 
 
 def checked_pattern(pattern: str, case_sensitive: bool = False) -> str:
-    """The pattern for ``rlike``; ValueError if it isn't valid."""
+    """The pattern for ``rlike``; ValueError if the engine that will run it, Java's, doesn't take it."""
+    jvm = SparkSession.active()._jvm
     try:
-        re.compile(pattern)
-    except re.error as e:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as e:
         raise ValueError(f"invalid pattern: {pattern}") from e
     return pattern if case_sensitive else f"(?i){pattern}"
 
@@ -34,16 +35,19 @@ def matching_lines(
     if extensions is not None:
         kept = kept.where(extension(key).isin(extensions))
     lines = lines_of(content)
-    numbered = F.transform(lines, lambda line, k: F.struct((k + 1).alias("n"), line.alias("l")))
     hits = kept.where(F.col(content).rlike(f"(?m){test}")) if _single_line(pattern) else kept
-    hits = hits.select(key, lines.alias("_lines"), F.explode(F.filter(numbered, lambda x: x["l"].rlike(test))).alias("_m"))
-    around = context_around(F.col("_lines"), F.col("_m.n"), context_lines) if context_lines else F.array().cast("array<string>")
-    return hits.select(key, F.col("_m.n").cast("bigint").alias("line_no"), trimmed("_m.l").alias("line"), around.alias("context"))
+    # the context is taken before the matches part, so that no match carries a copy of all lines
+    split = hits.select(key, lines.alias("_lines"))
+    numbered = F.transform("_lines", lambda line, k: F.struct((k + 1).alias("n"), line.alias("l")))
+    found = F.filter(numbered, lambda x: x["l"].rlike(test))
+    around = lambda n: context_around(F.col("_lines"), n, context_lines) if context_lines else F.array().cast("array<string>")
+    told = F.transform(found, lambda x: F.struct(x["n"].cast("bigint").alias("line_no"), trimmed(x["l"]).alias("line"), around(x["n"]).alias("context")))
+    return split.select(key, F.inline(told))
 
 
 def _single_line(pattern: str) -> bool:
-    """Whether testing the whole text first can't miss a line: no anchors to the text's ends and no look-around."""
-    return not re.search(r"\\[AzZGb]|\(\?|\^|\$", pattern)
+    """Whether testing the whole text first can't miss a line: no anchors to the text's ends, no look-around, nothing that a line feed could stand for."""
+    return not re.search(r"\\[AzZGQE]|\(\?(?!:)|\^|\$|\[\^", pattern)
 
 
 def first_matches(matches: DataFrame, key: str = "path", limit: int = config.SEARCH_RESULTS) -> DataFrame:

@@ -68,6 +68,12 @@ def counts(symbols: DataFrame) -> DataFrame:
     return sets.agg(F.count(F.lit(1)).alias("symbols"), F.count_distinct("path").alias("files"))
 
 
+def file_stats(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, files, symbols, last_indexed): of the latest row of each file; `rows` has file_path, symbol_count and indexed_at."""
+    latest = rows.where("file_path IS NOT NULL").groupBy(*groups, "file_path").agg(F.max(F.struct("indexed_at", "symbol_count")).alias("_r"))
+    return latest.groupBy(*groups).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("_r.symbol_count"), F.lit(0)).alias("symbols"), F.max("_r.indexed_at").alias("last_indexed"))
+
+
 def index_state(files: DataFrame, symbols: DataFrame, as_of: Column) -> DataFrame:
     """The rows that indexing files leaves: file_path, root_path, hash, language, symbol_count, indexed_at."""
     n = symbols.groupBy("root", "path").agg(F.count(F.lit(1)).alias("symbol_count"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeglass.functions.text import js_round
+from lodeglass.functions.text import js_round, text_tokens
 from lodeglass.operators.search import top_per_group
+from lodeglass.operators.sessions import session_files
 
 # States of a task.
 STATUSES = ["pending", "in_progress", "done", "blocked", "skipped"]
@@ -25,6 +26,24 @@ def latest_per(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame
     return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
+def most_recent(rows: DataFrame, at: str, tie: str, limit: int | None = 10) -> DataFrame:
+    """The `limit` latest rows, latest first; None for all. The greatest `tie` comes first among equals."""
+    ordered = rows.orderBy(F.col(at).desc(), F.col(tie).desc())
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def snapshots(reads: DataFrame, owner: str, at: str, item: str, tokens: str, label: str = "checkpoint") -> DataFrame:
+    """A snapshot of each owner's latest session: owner, label, summary, token_count, files, created_at.
+
+    The summary counts files and tokens; token_count is what the summary costs.
+    """
+    files = session_files(reads, owner, at, item, tokens)
+    each = files.groupBy(owner).agg(F.array_sort(F.collect_set(item)).alias("files"), F.coalesce(F.sum(tokens), F.lit(0)).alias("_n"), F.max(at).alias("created_at"))
+    summary = F.concat(F.size("files").cast("string"), F.lit(" files, "), F.col("_n").cast("string"), F.lit(" tokens"))
+    made = each.withColumn("summary", summary)
+    return made.select(owner, F.lit(label).alias("label"), "summary", text_tokens("summary").alias("token_count"), "files", "created_at")
+
+
 def set_union(old: Column, new: Column) -> Column:
     """Both lists' entries, each once, in order of first appearance."""
     empty = F.array().cast("array<string>")

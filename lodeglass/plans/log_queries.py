@@ -29,6 +29,17 @@ def log_compress(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path", "line_no", "level", f.display_message(F.col("message")).alias("message"), "occurrences")
 
 
+def log_compress_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every group of alike trouble lines, however many, alike in their whole text."""
+    found = logs.condensed(_lines(spark, d), entries=None, per_level=None, key_chars=None)
+    return found.select("path", "line_no", "level", f.display_message(F.col("message")).alias("message"), "occurrences")
+
+
+def log_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """What the condensed report leaves out of each log; a report of twenty groups, five of a level, which the logs exceed."""
+    return logs.left_out(logs.deduplicated(logs.trouble_lines(_lines(spark, d))), entries=20, per_level=5)
+
+
 def log_context(spark: SparkSession, d: str) -> DataFrame:
     found = logs.with_context(logs.condensed(_lines(spark, d)), _lines(spark, d))
     return found.select("path", "line_no", "level", "occurrences", F.array_join("context", "\n").alias("context"))
@@ -80,16 +91,21 @@ def _display(x: str) -> str:
 
 _COND = f"""{_DEDUP}, first AS (SELECT * FROM dedup QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 200),
 cond AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY path, level ORDER BY line_no) <= 100)"""
+_ALL = _DEDUP.replace(", 120)", ", 1000000000)")
 _STACK = "|".join(f"(?:{p})" for p in f.STACK_LINES)
 
 QUERIES = {
-    "log_levels": log_levels, "log_dedupe": log_dedupe, "log_compress": log_compress, "log_context": log_context, "log_normalize": log_normalize,
+    "log_levels": log_levels, "log_dedupe": log_dedupe, "log_compress": log_compress, "log_compress_all": log_compress_all, "log_left_out": log_left_out, "log_context": log_context, "log_normalize": log_normalize,
     "log_line_kinds": log_line_kinds, "log_level_counts": log_level_counts, "log_savings": log_savings,
 }
 ORACLES = {
     "log_levels": f"WITH {_FOUND} SELECT * FROM found",
     "log_dedupe": f"WITH {_DEDUP} SELECT * FROM dedup",
     "log_compress": f"WITH {_COND} SELECT path, line_no, level, {_display('message')} AS message, occurrences FROM cond",
+    "log_compress_all": f"WITH {_ALL} SELECT path, line_no, level, {_display('message')} AS message, occurrences FROM dedup",
+    "log_left_out": f"""WITH {_DEDUP}, a AS (SELECT * FROM dedup QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 20), b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY path, level ORDER BY line_no) <= 5)
+        SELECT d.path, groups, shown, groups - shown AS dropped, lines - shown_lines AS dropped_lines FROM (SELECT path, count(*) AS groups, sum(occurrences)::BIGINT AS lines FROM dedup GROUP BY path) d
+        JOIN (SELECT path, count(*) AS shown, sum(occurrences)::BIGINT AS shown_lines FROM b GROUP BY path) s ON s.path = d.path""",
     "log_context": f"""
         WITH {_COND}, t AS (SELECT DISTINCT path, line_no AS n, {q.trim('line')} AS s FROM log_lines)
         SELECT c.path, c.line_no, any_value(c.level) AS level, any_value(c.occurrences) AS occurrences, coalesce(string_agg(t.s, chr(10) ORDER BY t.n) FILTER (t.s <> ''), '') AS context

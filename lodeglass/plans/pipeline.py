@@ -82,8 +82,8 @@ _HEADS = " UNION ALL ".join(
     for p, order, t in _FORMS
 )
 _ENTRIES = f"""
-WITH l AS (SELECT DISTINCT path, line_no, regexp_replace(line, '\\x1b\\[[0-9;]*m', '', 'g') AS line FROM log_lines), h AS ({_HEADS}),
-s AS (SELECT l.path, l.line_no AS n, max(h.line_no) OVER (PARTITION BY l.path ORDER BY l.line_no ROWS UNBOUNDED PRECEDING) AS start_no FROM l LEFT JOIN h ON l.path = h.path AND l.line_no = h.line_no)
+WITH l AS MATERIALIZED (SELECT DISTINCT path, line_no, regexp_replace(line, '\\x1b\\[[0-9;]*m', '', 'g') AS line FROM log_lines), h AS MATERIALIZED ({_HEADS}),
+s AS MATERIALIZED (SELECT l.path, l.line_no AS n, max(h.line_no) OVER (PARTITION BY l.path ORDER BY l.line_no ROWS UNBOUNDED PRECEDING) AS start_no FROM l LEFT JOIN h ON l.path = h.path AND l.line_no = h.line_no)
 """
 ORACLES |= {
     "p4_found": f"{_ENTRIES} SELECT h.path, h.line_no, max(n) AS end_line_no, any_value(logged_at) AS logged_at, any_value(level) AS level, any_value(component) AS component FROM h JOIN s ON s.path = h.path AND s.start_no = h.line_no GROUP BY h.path, h.line_no",

@@ -53,7 +53,7 @@ public class Main {
     }
 }
 """
-FILES = [("samples", "src/gauge.ts", STORE_TS), ("samples", "src/jobs.py", JOBS_PY), ("samples", "src/Main.java", MAIN_JAVA), ("samples", "src/clock.ts", "export function now() {\n  return Date.now();\n}\n")]
+FILES = [("samples", "src/gauge.ts", STORE_TS), ("samples", "src/jobs.py", JOBS_PY), ("samples", "src/Main.java", MAIN_JAVA), ("samples", "src/clock.ts", "export function now() {\n  return Date.now();\n}\n"), ("samples", "src/edges.ts", "export function import_edge() {\n  return 1;\n}\n")]
 
 
 def frame(spark: SparkSession) -> DataFrame:

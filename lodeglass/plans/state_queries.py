@@ -78,9 +78,21 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_budget_totals(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("source IS NOT NULL")
-    items = docs.select(F.lower(F.trim("source")).alias("source"), F.coalesce("path", F.lit("")).alias("label"), code_tokens("text").alias("tokens"), F.lit(5).alias("priority"))
-    return budget.budget_totals(budget.judged_items(items), ["source"])
+    return budget.budget_totals(_source_items(spark, d), ["source"])
+
+
+def context_recommendation(spark: SparkSession, d: str) -> DataFrame:
+    """What the contexts of sources that are too full could save, with their first three items to remove, largest first."""
+    items = _source_items(spark, d).withColumn("tokens", F.col("tokens") * 40)
+    found = budget.recommended(items, ["source"], [(-F.col("tokens")).alias("a"), F.col("doc_id").alias("b")])
+    return found.withColumn("names", F.array_join("names", ","))
+
+
+def _source_items(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as items of their sources' contexts; those without source are one context of their own."""
+    docs = table(spark, d, "documents")
+    items = docs.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.coalesce("path", F.lit("")).alias("label"), code_tokens("text").alias("tokens"), F.lit(5).alias("priority"))
+    return budget.judged_items(items)
 
 
 def budget_session_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -122,6 +134,26 @@ def observation_groups(spark: SparkSession, d: str) -> DataFrame:
     return tasks.first_per_type(_tasks(spark, d), ["project"], [F.col("event_id")], kind="event_type").select("project", "event_type", "event_id")
 
 
+def session_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot of every owner's latest session."""
+    made = tasks.snapshots(_reads(spark, d), "owner", "read_at", "item", "tokens")
+    return made.withColumn("files", F.array_join("files", ","))
+
+
+def snapshot_list(spark: SparkSession, d: str) -> DataFrame:
+    """The ten latest of these snapshots."""
+    return tasks.most_recent(session_snapshots(spark, d), "created_at", "owner")
+
+
+def startup_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """What one cleaning at the start leaves: reads of owners who were active within a day, and cached files read within seven."""
+    left = purge_expired(spark, d).agg(F.lit("sessions").alias("store"), F.count(F.lit(1)).alias("kept"))
+    now = F.lit("2025-02-20 00:00:00").cast("timestamp_ntz")
+    latest = cache_latest(spark, d)
+    fresh = latest.where(F.col("last_read_at") >= now - F.make_dt_interval(days=F.lit(config.CACHE_DAYS)))
+    return left.unionByName(fresh.agg(F.lit("cache").alias("store"), F.count(F.lit(1)).alias("kept")))
+
+
 def snapshots_latest(spark: SparkSession, d: str) -> DataFrame:
     return tasks.latest_per(_tasks(spark, d), ["project"], "ts", "event_id").select("project", "event_id", "status")
 
@@ -129,13 +161,14 @@ def snapshots_latest(spark: SparkSession, d: str) -> DataFrame:
 _R = "r AS (SELECT user_id AS owner, event_type AS item, ts AS read_at, floor(value)::BIGINT AS tokens, event_id FROM events)"
 _S = """m AS (SELECT *, CASE WHEN lag(read_at) OVER w IS NULL OR read_at - lag(read_at) OVER w >= INTERVAL 24 HOURS THEN 1 ELSE 0 END AS b FROM {src} WINDOW w AS (PARTITION BY owner ORDER BY read_at, event_id)),
 s AS (SELECT *, sum(b) OVER (PARTITION BY owner ORDER BY read_at, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_no FROM m)"""
-_ERR = f"WITH {_R}, {_S.format(src='(SELECT * FROM r WHERE item = ' + chr(39) + 'error' + chr(39) + ')')}"
+_ALL = f"WITH {_R}, {_S.format(src='r')}"
 _FILES = f"""{_R}, {_S.format(src="r")}, sf AS (SELECT owner, item, max(read_at) AS read_at, arg_max(tokens, (read_at, tokens)) AS tokens
  FROM (SELECT * FROM s QUALIFY session_no = max(session_no) OVER (PARTITION BY owner)) GROUP BY owner, item)"""
 _T = """t AS (SELECT user_id AS project, event_id, ts, event_type, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'in_progress' WHEN 'error' THEN 'blocked' ELSE 'skipped' END AS status FROM events)"""
-_KT = "CASE WHEN tokens >= 1000 THEN printf('%.1fk', floor(tokens / 100.0 + 0.5) / 10) ELSE tokens::VARCHAR END"
 _ADVICE = "CASE WHEN coalesce(priority, 5) >= 8 THEN 'keep' WHEN tokens > 10000 OR lower(label) LIKE '%log%' THEN 'consider-removing' WHEN lower(label) LIKE '%lock%' THEN 'remove' ELSE 'keep' END"
-_LATEST = "c AS (SELECT path, max(last_read_at) AS last_read_at, arg_max((hash, line_count), (last_read_at, hash, line_count)) AS v FROM file_cache GROUP BY path)"
+_LATEST = "c AS (SELECT path, max(last_read_at) AS last_read_at, arg_max({'hash': hash, 'line_count': line_count}, (last_read_at, coalesce(hash, ''), coalesce(line_count, -1))) AS v FROM file_cache GROUP BY path)"
+_SNAP = """sn AS (SELECT owner, 'checkpoint' AS label, summary, ceil(length(summary) / 4.0)::BIGINT AS token_count, files, created_at FROM (
+ SELECT owner, count(DISTINCT item) || ' files, ' || coalesce(sum(tokens), 0)::BIGINT || ' tokens' AS summary, string_agg(DISTINCT item, ',' ORDER BY item) AS files, max(read_at) AS created_at FROM sf GROUP BY owner))"""
 _SUMS = ", ".join(f"sum(CASE WHEN status = '{s}' THEN 1 ELSE 0 END)::BIGINT AS {s}" for s in tasks.STATUSES)
 
 
@@ -143,12 +176,12 @@ def _oracles() -> dict[str, str]:
     from lodeglass.plans import pipeline
     from lodeglass.plans import sqltext as q
 
-    items = f"SELECT path AS label, {q.code_tokens('text')} * 10 AS tokens, (doc_id % 10)::INT AS priority FROM documents WHERE source IS NOT NULL AND path IS NOT NULL"
-    reason = f"""CASE WHEN tokens > 20000 THEN 'Very large (' || {_KT} || ' tokens)' WHEN tokens > 10000 THEN 'Large (' || {_KT} || ' tokens)'
-        WHEN lower(label) LIKE '%log%' THEN 'Log files often have low information density' WHEN lower(label) LIKE '%lock%' THEN 'Lock files are auto-generated, rarely needed' ELSE {_KT} || ' tokens' END"""
+    items = f"SELECT coalesce(path, '') AS label, {q.code_tokens('text')} * 10 AS tokens, (doc_id % 10)::INT AS priority FROM documents"
+    reason = "CASE WHEN tokens > 20000 THEN 'very-large' WHEN tokens > 10000 THEN 'large' WHEN lower(label) LIKE '%log%' THEN 'log' WHEN lower(label) LIKE '%lock%' THEN 'lock' ELSE 'size' END"
+    source = f"SELECT doc_id, coalesce(lower(trim(source)), '') AS source, coalesce(path, '') AS label, {q.code_tokens('text')} AS tokens, 5 AS priority FROM documents"
     return {
-        "sessionize_24h": f"{_ERR} SELECT event_id, owner, session_no FROM s",
-        "session_totals": f"{_ERR} SELECT owner, session_no, min(read_at) AS started_at, max(read_at) AS last_active_at, count(*) AS reads, count(DISTINCT item) AS items, sum(tokens)::BIGINT AS tokens FROM s GROUP BY owner, session_no",
+        "sessionize_24h": f"{_ALL} SELECT event_id, owner, session_no FROM s",
+        "session_totals": f"{_ALL} SELECT owner, session_no, min(read_at) AS started_at, max(read_at) AS last_active_at, count(*) AS reads, count(DISTINCT item) AS items, sum(tokens)::BIGINT AS tokens FROM s GROUP BY owner, session_no",
         "session_latest_read": f"WITH {_R} SELECT owner, item, max(read_at) AS read_at, arg_max(tokens, (read_at, tokens)) AS tokens FROM r GROUP BY owner, item",
         "session_files": f"WITH {_FILES} SELECT owner, item, read_at, tokens FROM sf",
         "purge_expired": f"WITH {_R} SELECT owner, count(*) AS reads, max(read_at) AS last_active_at FROM r GROUP BY owner HAVING max(read_at) >= TIMESTAMP '2024-01-29 12:00:00'",
@@ -163,11 +196,20 @@ def _oracles() -> dict[str, str]:
             SELECT path, status, CASE WHEN status = 'fresh' THEN summary END AS summary, CASE WHEN status = 'fresh' THEN token_estimate END AS tokens,
                    CASE WHEN status = 'fresh' AND token_estimate > 2000 THEN 'chunks' WHEN status = 'fresh' THEN 'summary' ELSE 'whole' END AS plan FROM s""",
         "context_budget": f"SELECT label, tokens, priority, {_ADVICE} AS advice, {reason} AS reason FROM ({items})",
-        "context_budget_totals": f"""WITH i AS (SELECT lower(trim(source)) AS source, coalesce(path, '') AS label, {q.code_tokens('text')} AS tokens, 5 AS priority FROM documents WHERE source IS NOT NULL)
+        "context_budget_totals": f"""WITH i AS ({source})
             SELECT source, sum(tokens)::BIGINT AS tokens, floor(sum(tokens) / 150000.0 * 100 + 0.5)::BIGINT AS percent, CASE WHEN sum(tokens) >= 150000 THEN 'critical' WHEN sum(tokens) >= 80000 THEN 'warning' ELSE 'ok' END AS status,
                    coalesce(sum(tokens) FILTER (({_ADVICE}) <> 'keep'), 0)::BIGINT AS removable FROM i GROUP BY source""",
-        "budget_session_merge": f"""WITH {_FILES}, i AS (SELECT owner || '/' || item AS label, max(tokens) AS tokens, 9 AS priority FROM r WHERE owner <= 50 AND item = 'view' GROUP BY owner, item)
+        "budget_session_merge": f"""WITH {_FILES}, i AS (SELECT owner || '/' || item AS label, max(tokens) AS tokens, 9 AS priority FROM r GROUP BY owner, item)
             SELECT * FROM i UNION ALL SELECT owner || '/' || item, tokens, 5 FROM sf WHERE owner || '/' || item NOT IN (SELECT label FROM i)""",
+        "context_recommendation": f"""WITH i AS (SELECT * REPLACE (tokens * 40 AS tokens) FROM ({source})), j AS (SELECT *, {_ADVICE} AS advice FROM i),
+            t AS (SELECT source, sum(tokens)::BIGINT AS tokens, coalesce(sum(tokens) FILTER (advice <> 'keep'), 0)::BIGINT AS removable FROM j GROUP BY source HAVING sum(tokens) >= 80000),
+            n AS (SELECT source, string_agg(label, ',' ORDER BY tokens DESC, doc_id) AS names FROM (SELECT * FROM j WHERE advice <> 'keep' QUALIFY row_number() OVER (PARTITION BY source ORDER BY tokens DESC, doc_id) <= 3) GROUP BY source)
+            SELECT t.source, CASE WHEN tokens >= 150000 THEN 'critical' ELSE 'warning' END AS status, removable, floor(removable * 100.0 / tokens + 0.5)::BIGINT AS percent, coalesce(names, '') AS names FROM t LEFT JOIN n ON n.source = t.source""",
+        "session_snapshots": f"WITH {_FILES}, {_SNAP} SELECT * FROM sn",
+        "snapshot_list": f"WITH {_FILES}, {_SNAP} SELECT * FROM sn ORDER BY created_at DESC, owner DESC LIMIT 10",
+        "cache_latest": f"WITH {_LATEST} SELECT path, last_read_at, v.hash AS hash, v.line_count AS line_count FROM c",
+        "startup_cleanup": f"""WITH {_R}, {_LATEST} SELECT 'sessions' AS store, count(*) AS kept FROM (SELECT owner FROM r GROUP BY owner HAVING max(read_at) >= TIMESTAMP '2024-01-29 12:00:00')
+            UNION ALL SELECT 'cache', count(*) FROM c WHERE last_read_at >= TIMESTAMP '2025-02-13 00:00:00'""",
         "context_watchdog": f"""WITH {_R}, o AS (SELECT owner, sum(tokens)::BIGINT * 40 AS tokens FROM r GROUP BY owner)
             SELECT owner, tokens, tokens + 1000 AS used, floor((tokens + 1000) / 180000.0 * 100 + 0.5)::BIGINT AS percent,
                    CASE WHEN (tokens + 1000) / 180000.0 >= 0.95 THEN 'emergency' WHEN (tokens + 1000) / 180000.0 >= 0.85 THEN 'critical' WHEN (tokens + 1000) / 180000.0 >= 0.7 THEN 'warning' ELSE 'safe' END AS level FROM o""",
@@ -189,6 +231,7 @@ QUERIES = {
     "sessionize_24h": sessionize_24h, "session_totals": session_totals, "session_latest_read": session_latest_read, "session_files": session_files,
     "cache_latest": cache_latest, "purge_expired": purge_expired, "cache_expiry": cache_expiry, "freshness_check": freshness_check, "recall_files": recall_files, "context_budget": context_budget, "context_budget_totals": context_budget_totals,
     "budget_session_merge": budget_session_merge, "context_watchdog": context_watchdog, "task_progress": task_progress, "task_checkpoint_merge": task_checkpoint_merge,
+    "context_recommendation": context_recommendation, "session_snapshots": session_snapshots, "snapshot_list": snapshot_list, "startup_cleanup": startup_cleanup,
     "observation_groups": observation_groups, "snapshots_latest": snapshots_latest,
 }
 ORACLES = _oracles()

@@ -26,14 +26,17 @@ class KeyedTable:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return sorted((int(n.split("-")[1]), n) for n in names if n.startswith("part-"))
 
-    def _write(self, rows: DataFrame, deleted: bool) -> None:
-        parts = self._parts()
-        seq = parts[-1][0] + 1 if parts else 0
+    def _write(self, rows: DataFrame, deleted: bool, seq: int | None = None) -> None:
+        """Publish a part. Its name is its own, so that writers at the same time never meet; of theirs the greater name counts."""
+        if seq is None:
+            parts = self._parts()
+            seq = parts[-1][0] + 1 if parts else 0
+        own = uuid.uuid4().hex
         fields = self.spark.createDataFrame([], self.schema).schema
         kept = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
-        staged = f"{self.folder}/_staged-{uuid.uuid4().hex}"
-        kept.withColumn("_deleted", F.lit(deleted)).withColumn("_seq", F.lit(seq).cast("bigint")).write.parquet(staged)
-        if not self._fs.rename(self._path(staged), self._path(f"{self.folder}/part-{seq}")):
+        staged = f"{self.folder}/_staged-{own}"
+        kept.withColumn("_deleted", F.lit(deleted)).withColumn("_seq", F.lit(f"{seq:018d}-{own}")).write.parquet(staged)
+        if not self._fs.rename(self._path(staged), self._path(f"{self.folder}/part-{seq}-{own}")):
             raise OSError(f"couldn't publish part {seq} of {self.folder}")
 
     def upsert(self, rows: DataFrame) -> None:
@@ -52,7 +55,9 @@ class KeyedTable:
         return n
 
     def read(self) -> DataFrame:
-        parts = self._parts()
+        return self._state_of(self._parts())
+
+    def _state_of(self, parts: list[tuple[int, str]]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], self.schema)
         rows = self.spark.read.parquet(*[f"{self.folder}/{name}" for _, name in parts])
@@ -66,13 +71,24 @@ class KeyedTable:
             rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
         return rows
 
+    def has_changed(self, column: str, value, **key) -> bool:
+        """Whether the row of a key is missing or holds another value there; letter case of texts means nothing."""
+        row = self.get(**key).select(column).first()
+        fold = lambda x: x.lower() if isinstance(x, str) else x
+        return row is None or fold(row[0]) != fold(value)
+
+    def latest(self, at: str, limit: int | None = None) -> DataFrame:
+        """The present rows, latest first by a time column."""
+        rows = self.read().orderBy(F.col(at).desc(), *self.key)
+        return rows if limit is None else rows.limit(limit)
+
     def count(self) -> int:
         return self.read().count()
 
     def compact(self) -> None:
-        """Replace all parts by one with the present state."""
+        """Replace the parts that are there by one with their state; it takes the number of the last of them, below any that lands meanwhile."""
         parts = self._parts()
         if len(parts) > 1:
-            self._write(self.read(), False)
-            for _, name in parts:
+            self._write(self._state_of(parts), False, parts[-1][0])
+            for _, name in parts:  # oldest first: what a later part deletes goes before that part
                 self._fs.delete(self._path(f"{self.folder}/{name}"), True)

@@ -61,8 +61,10 @@ def running_sessions(reads: DataFrame, owner: str = "owner", at: str = "read_at"
 def index_stream(listing: DataFrame, ledger: Ledger, work: Callable[[DataFrame], DataFrame], at: str | None = None) -> DataStreamWriter:
     """A writer that indexes what each micro-batch of a stream of listings brings, once.
 
-    The micro-batch's number is the batch identifier: a micro-batch that is
-    delivered again after a failure does nothing the second time. Of several
+    The stream's identity, which its checkpoint keeps, and the micro-batch's
+    number are the batch identifier: a micro-batch that is delivered again
+    after a failure does nothing the second time, and a stream that begins
+    anew with another checkpoint isn't taken for the old one. Of several
     versions of a key in one micro-batch the latest by the time column `at`
     counts, with all its columns; versions without checksum only where there
     is no other. Among equal times, or without `at`, the greatest checksum.
@@ -71,6 +73,7 @@ def index_stream(listing: DataFrame, ledger: Ledger, work: Callable[[DataFrame],
     def run(batch: DataFrame, number: int) -> None:
         order = F.struct(F.col(ledger.checksum).isNotNull(), *[F.col(c) for c in (at, ledger.checksum) if c])
         latest = batch.groupBy(F.col(ledger.key).alias("_k")).agg(F.max_by(F.struct("*"), order).alias("_r")).select("_r.*")
-        ledger.run(f"stream-{number:012d}", latest, work)
+        identity = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "unnamed"
+        ledger.run(f"stream-{identity}-{number:012d}", latest, work)
 
     return listing.writeStream.foreachBatch(run)
