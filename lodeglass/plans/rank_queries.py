@@ -165,10 +165,10 @@ def symbol_find(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_find_kind(spark: SparkSession, d: str) -> DataFrame:
-    """Functions of Python files below the first root by name only."""
+    """Functions of Python files below the root with most files."""
     rows = _paths(_catalogue(spark, d))
-    root = table(spark, d, "code_files").agg(F.min("root")).first()[0]
-    return symbols.find(rows, FIND, kind="function", language="python", root=root, limit=400).select("path", "name", "kind", "line", "bucket")
+    top = table(spark, d, "code_files").groupBy("root").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "root").first()
+    return symbols.find(rows, FIND, kind="function", language="python", root=top["root"] if top else None, limit=400).select("path", "name", "kind", "line", "bucket")
 
 
 def symbol_outline(spark: SparkSession, d: str) -> DataFrame:
@@ -366,7 +366,7 @@ _SIG = "CASE language " + " ".join(
 _SCRIPT, _CODE = "('typescript', 'javascript')", "(" + ", ".join(f"'{x}'" for x in config.CODE_LANGUAGES) + ")"
 
 
-def _units() -> str:
+def _units_sql() -> str:
     """CTEs: cf, src, l (lines), un (functions and classes with extents), sg (signatures of other languages at their first place)."""
     fn, cls = _header(parse.BRACE_FUNCTIONS, config.NO_FUNCTION), _header([parse.BRACE_CLASS], [])
     py = lambda p: f"nullif(regexp_extract(line, '{p}', 1), '')"
@@ -396,7 +396,7 @@ def _symbols() -> str:
         for o, (k, p) in enumerate((("interface", parse.INTERFACE), ("type", parse.TYPE), ("enum", parse.ENUM)), 3)
     )
     name = r"regexp_extract(regexp_replace(sig, '^func\s+\([^)]*\)', 'func'), '(\w+)\s*(?:<[^>(]*>)?\s*\(', 1)"
-    return f"""{_units()},
+    return f"""{_units_sql()},
     mn AS (SELECT DISTINCT un.root, un.path, un.language, un.name AS cname, un.start_line AS cs, un.end_line AS ce, {named} AS m FROM un
            JOIN l ON l.root = un.root AND l.path = un.path AND n BETWEEN un.start_line AND un.end_line WHERE kind = 'class' AND {named} <> ''),
     mp AS (SELECT mn.root, mn.path, mn.language, cname, cs, m, min(n) AS n FROM mn JOIN l ON l.root = mn.root AND l.path = mn.path AND n BETWEEN cs AND ce AND regexp_matches(line, '(^|\\s)' || m || '\\s*\\(') GROUP BY ALL),
@@ -410,7 +410,7 @@ def _symbols() -> str:
 
 def _chunked() -> str:
     """CTEs up to ck, the chunks of all files with their texts."""
-    return f"""{_units()},
+    return f"""{_units_sql()},
     fl AS (SELECT root, path, language, string_split(content, chr(10)) AS ls FROM src),
     u AS (SELECT root, path, 0 AS ord, start_line AS sub, start_line, end_line, 'function' AS chunk_type, name AS identifier FROM un WHERE kind = 'function'
           UNION ALL SELECT root, path, 1, start_line, start_line, end_line, 'class', name FROM un c WHERE kind = 'class'
@@ -504,7 +504,7 @@ ORACLES = {
     "symbol_stats": f"{_symbols()} SELECT kind, language, count(*) AS symbols, count(DISTINCT path) AS files FROM cat GROUP BY GROUPING SETS ((kind), (language), ())",
     "symbol_invalidate": f"{_symbols()} SELECT language, count(*) AS symbols FROM pc WHERE path <> (SELECT min(path) FROM pc) GROUP BY language",
     "symbol_find": f"{_symbols()}, " + _FIND_SQL.replace("{w}", ""),
-    "symbol_find_kind": f"{_symbols()}, " + _FIND_SQL.replace("{w}", "WHERE kind = 'function' AND language = 'python' AND starts_with(path, (SELECT min(root) FROM code_files) || '/')"),
+    "symbol_find_kind": f"{_symbols()}, " + _FIND_SQL.replace("{w}", "WHERE kind = 'function' AND language = 'python' AND starts_with(path, (SELECT root FROM code_files GROUP BY root ORDER BY count(*) DESC, root LIMIT 1) || '/')"),
     "symbol_outline": f"{_symbols()} SELECT path, name, kind, line, end_line FROM pc WHERE path = (SELECT path FROM pc GROUP BY path ORDER BY count(*) DESC, path LIMIT 1)",
     "symbol_files_stats": """WITH g AS (SELECT run_id FROM index_runs WHERE run_id IS NOT NULL AND noted_at IS NOT NULL GROUP BY run_id HAVING max_by(status, (noted_at, status)) = 'ok'),
         f AS (SELECT * FROM symbol_files JOIN g USING (run_id) WHERE file_path IS NOT NULL

@@ -83,15 +83,14 @@ def context_budget_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def context_recommendation(spark: SparkSession, d: str) -> DataFrame:
     """What the contexts of sources that are too full could save, with their first three items to remove, largest first."""
-    items = _source_items(spark, d).withColumn("tokens", F.col("tokens") * 40)
-    found = budget.recommended(items, ["source"], [(-F.col("tokens")).alias("a"), F.col("doc_id").alias("b")])
+    found = budget.recommended(_source_items(spark, d, 40), ["source"], [(-F.col("tokens")).alias("a"), F.col("doc_id").alias("b")])
     return found.withColumn("names", F.array_join("names", ","))
 
 
-def _source_items(spark: SparkSession, d: str) -> DataFrame:
+def _source_items(spark: SparkSession, d: str, times: int = 1) -> DataFrame:
     """All documents as items of their sources' contexts; those without source are one context of their own."""
     docs = table(spark, d, "documents")
-    items = docs.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.coalesce("path", F.lit("")).alias("label"), code_tokens("text").alias("tokens"), F.lit(5).alias("priority"))
+    items = docs.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.coalesce("path", F.lit("")).alias("label"), (code_tokens("text") * times).alias("tokens"), F.lit(5).alias("priority"))
     return budget.judged_items(items)
 
 
