@@ -8,12 +8,15 @@ times and a seeded share of them once more.
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeglass.session import spread
@@ -22,8 +25,10 @@ from lodeglass.session import spread
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the rank files' vocabulary splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters handed to the tokenizer at once; longer texts are counted in parts that begin at white space where they can.
+#: Characters handed to the tokenizer at once; longer texts are counted in parts, cut at the next place where no pre-token can go on.
 PART_CHARS = 20_000
+#: A single blank between letters or digits begins a pre-token, whatever stands around.
+_BORDER = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 #: Sources that a plan may have; the targets are a configuration, not data.
 MAX_SOURCES = 100_000
 
@@ -39,20 +44,24 @@ def _encoding(ranks: str):
 
 def _parts(text: str) -> Iterator[str]:
     at = 0
-    while len(text) - at > PART_CHARS:
-        cut = text.rfind(" ", at + 1, at + PART_CHARS)
-        cut = cut if cut > at else at + PART_CHARS
-        yield text[at:cut]
-        at = cut
+    while len(text) - at > PART_CHARS and (border := _BORDER.search(text, at + PART_CHARS)):
+        yield text[at:border.start()]
+        at = border.start()
     yield text[at:]
 
 
 def count_tokens(text: Column | str, ranks: str = RANKS) -> Column:
-    """Tokens of a text; 0 for null and empty text. Special tokens' names are ordinary text."""
+    """Tokens of a text; 0 for null and empty text. Special tokens' names are ordinary text.
+
+    The rank file is shipped to the executors. A text without a blank between
+    words is handed to the tokenizer whole.
+    """
+    SparkSession.active().sparkContext.addFile(ranks)
+    name = os.path.basename(ranks)
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoding(ranks).encode_ordinary
+        encode = _encoding(SparkFiles.get(name)).encode_ordinary
         return texts.map(lambda t: sum(len(encode(p)) for p in _parts(t)) if t else 0).astype("int64")
 
     return count(text)
@@ -86,7 +95,8 @@ class SourcePlan:
 
     @property
     def reaches_share(self) -> bool:
-        return self.capacity >= self.desired
+        """Whether the plan gives the source its share; one that is clamped below it doesn't, and rounding is no shortage."""
+        return self.planned >= self.desired * (1 - 1e-9)
 
     @property
     def epochs(self) -> float:
@@ -131,11 +141,9 @@ def source_totals(sized: DataFrame, targets: DataFrame) -> tuple[list[tuple[str,
         raise ValueError(f"more than {MAX_SOURCES} target sources")
     plan = sorted((r["source"], float(r["w"]), int(r["r"])) for r in rows)
     names = [s for s, _, _ in plan]
-    of_target = F.when(F.col("source").isin(names), F.col("source")) if len(names) <= 200 else F.col("source")
-    sums = sized.groupBy(of_target.alias("source")).agg(F.sum("tokens").alias("tokens"))
-    if len(names) > 200:
-        known = F.broadcast(sized.sparkSession.createDataFrame([(s,) for s in names], "known string"))
-        sums = sums.join(known, sums["source"] == known["known"], "left").groupBy(F.col("known").alias("source")).agg(F.sum("tokens").alias("tokens"))
+    # sources that no target names are one group, so that only as many rows as targets reach the driver
+    known = F.broadcast(sized.sparkSession.createDataFrame([(s,) for s in names], "known string"))
+    sums = sized.join(known, sized["source"] == known["known"], "left").groupBy(F.col("known").alias("source")).agg(F.sum("tokens").alias("tokens"))
     found = {r["source"]: int(r["tokens"] or 0) for r in sums.collect()}
     return plan, {s: found.get(s, 0) for s in names}, sum(found.values())
 

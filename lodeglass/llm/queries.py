@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.llm import distinctive, handwritten, leakage, mixing, prose, splitting
-from lodeglass.session import cut_lineage, table
+from lodeglass.session import cut_lineage, ensure_checkpoint_dir, table
 
 
 # -- 1 -----------------------------------------------------------------------
@@ -19,15 +21,15 @@ def p1_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- 3 -----------------------------------------------------------------------
-def _chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_texts(table(spark, d, "file_chunks"), ["path", "chunk_no"])
+def _chunk_pieces(spark: SparkSession, d: str, carried: list[str] | None = None) -> DataFrame:
+    chunks = table(spark, d, "file_chunks").withColumn("origin", F.coalesce("start_line", F.lit(1).cast("bigint")))
+    return splitting.split_texts(chunks, ["path", "chunk_no"], carried=carried)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "file_chunks").where("content IS NOT NULL")
-    origin = chunks.groupBy("path", "chunk_no").agg(F.max("start_line").alias("origin"))
+    """Each piece's lines in its file; start_line is that of the delivery whose content was cut."""
     at = lambda c: (F.col("origin") + F.col(c) - 1)
-    return _chunk_pieces(spark, d).join(origin, ["path", "chunk_no"]).select("path", "chunk_no", at("first").alias("start_line"), at("last").alias("end_line"))
+    return _chunk_pieces(spark, d, ["origin"]).select("path", "chunk_no", at("first").alias("start_line"), at("last").alias("end_line"))
 
 
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +37,23 @@ def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("path", "chunk_no", "first", "last", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
+#: Bytes of a range in `p3_files`: small, so that a file of any size has many.
+FILE_RANGE = 16 << 10
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks written into eight large files, which are then split by byte ranges; each piece's text as length and checksum."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    chunks = table(spark, d, "file_chunks").where("content IS NOT NULL AND path IS NOT NULL AND chunk_no IS NOT NULL").groupBy("path", "chunk_no").agg(F.max("content").alias("value"))
+    part = F.pmod(F.length("path"), F.lit(8)).alias("part")
+    # one sorted file per part
+    chunks.select(part, "path", "chunk_no", "value").repartition(8, "part").sortWithinPartitions("part", "path", "chunk_no").select("part", "value").write.partitionBy("part").text(folder)
+    listing = splitting.list_files(spark, folder).where("length > 0")
+    pieces = splitting.split_files_with_texts(listing, range_bytes=FILE_RANGE)
+    number = F.regexp_extract("path", r"part=(\d+)/", 1).cast("int").alias("part")
+    return pieces.select(number, "first", "last", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 # -- 5 -----------------------------------------------------------------------
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.classify(table(spark, d, "project_map"), table(spark, d, "code_files"))
@@ -114,34 +133,39 @@ WITH s AS (SELECT nullif(lower(trim(source)), '') AS source, length(text) AS n F
 SELECT lower(trim(m.source)) AS source FROM mix_targets m LEFT JOIN t ON lower(trim(m.source)) = t.source, total
 WHERE coalesce(t.n, 0) * m.max_repeats < m.target_weight * total.n
 """
-#: The cutting rule as a recursion over piece ends.
+#: The cutting rule as a recursion over piece ends; `c` has the columns {k}, origin and content.
 _PIECES = r"""
-WITH RECURSIVE c AS (SELECT path, chunk_no, max(start_line) AS origin, max(content) AS content FROM file_chunks WHERE content IS NOT NULL GROUP BY path, chunk_no),
-l AS (SELECT path, chunk_no, origin, string_split(content, chr(10)) AS ls FROM c),
-big AS (SELECT path, chunk_no, origin, ls, len(ls) AS n FROM l WHERE len(ls) > 60),
-cand AS (SELECT path, chunk_no, k, len(regexp_extract(ls[k], '^[ \t]*')) AS ind
-         FROM (SELECT path, chunk_no, ls, unnest(range(2, n + 1)) AS k FROM big)
+WITH RECURSIVE c AS ({c}),
+l AS (SELECT {k}, origin, string_split(content, chr(10)) AS ls FROM c),
+big AS (SELECT {k}, origin, ls, len(ls) AS n FROM l WHERE len(ls) > 60),
+cand AS (SELECT {k}, k, len(regexp_extract(ls[k], '^[ \t]*')) AS ind
+         FROM (SELECT {k}, ls, unnest(range(2, n + 1)) AS k FROM big)
          WHERE regexp_matches(ls[k], '\S') AND NOT regexp_matches(ls[k - 1], '\S')),
-nat AS (SELECT path, chunk_no, list(k ORDER BY k) AS ks FROM (SELECT *, min(ind) OVER (PARTITION BY path, chunk_no) AS least FROM cand) WHERE ind = least GROUP BY path, chunk_no),
-b AS (SELECT big.path, big.chunk_no, origin, n, coalesce(ks, []) AS ks FROM big LEFT JOIN nat ON big.path = nat.path AND big.chunk_no = nat.chunk_no),
-p AS (SELECT path, chunk_no, origin, n, ks, 0::BIGINT AS s, 0::BIGINT AS e FROM b
+nat AS (SELECT {k}, list(k ORDER BY k) AS ks FROM (SELECT *, min(ind) OVER (PARTITION BY {k}) AS least FROM cand) WHERE ind = least GROUP BY {k}),
+b AS (SELECT big.*, coalesce(ks, []) AS ks FROM big LEFT JOIN nat USING ({k})),
+p AS (SELECT {k}, origin, n, ks, 0::BIGINT AS s, 0::BIGINT AS e FROM b
       UNION ALL
-      SELECT path, chunk_no, origin, n, ks, greatest(1, e - 4),
+      SELECT {k}, origin, n, ks, greatest(1, e - 4),
              CASE WHEN n <= greatest(1, e - 4) + 59 THEN n
                   ELSE coalesce(list_max(list_filter(ks, lambda k: k - 1 > e AND k - 1 <= greatest(1, e - 4) + 59)) - 1, greatest(1, e - 4) + 59) END
       FROM p WHERE e < n)
-SELECT path, chunk_no, origin + s - 1 AS start_line, origin + e - 1 AS end_line FROM p WHERE e > 0
 """
+_CHUNKS = _PIECES.replace("{c}", "SELECT path, chunk_no, max(start_line) AS origin, max(content) AS content FROM file_chunks WHERE content IS NOT NULL GROUP BY path, chunk_no").replace("{k}", "path, chunk_no")
+_FILES = _PIECES.replace("{c}", """SELECT part, 1 AS origin, string_agg(content, chr(10) ORDER BY path, chunk_no) || chr(10) AS content
+    FROM (SELECT path, chunk_no, length(path) % 8 AS part, max(content) AS content FROM file_chunks WHERE content IS NOT NULL AND path IS NOT NULL AND chunk_no IS NOT NULL GROUP BY path, chunk_no) GROUP BY part""").replace("{k}", "part")
+_TEXT = "length(array_to_string(ls[s:e], chr(10))) AS n_chars, md5(array_to_string(ls[s:e], chr(10))) AS digest"
 
 QUERIES = {
-    "p1_found": p1_found, "p1_weights": p1_weights, "p3_found": p3_found, "p3_texts": p3_texts, "p5_found": p5_found, "p5_kinds": p5_kinds,
+    "p1_found": p1_found, "p1_weights": p1_weights, "p3_found": p3_found, "p3_texts": p3_texts, "p3_files": p3_files, "p5_found": p5_found, "p5_kinds": p5_kinds,
     "p6_found": p6_found, "p6_near": p6_near, "p7_found": p7_found, "p7_plan": p7_plan, "p7_mix": p7_mix,
     "p8_found": p8_found, "p8_contributions": p8_contributions, "p8_statistics": p8_statistics,
 }
 ORACLES = {
     "p1_found": f"WITH {_WEIGHTS} SELECT id, arg_min(term, (-score, term)) AS term FROM w WHERE df >= 2 GROUP BY id HAVING bool_or(df < n * 0.05)",
     "p1_weights": f"WITH {_WEIGHTS} SELECT id, term, f, df, round(score, 6) AS score FROM w",
-    "p3_found": _PIECES,
+    "p3_found": _CHUNKS + "SELECT path, chunk_no, origin + s - 1 AS start_line, origin + e - 1 AS end_line FROM p WHERE e > 0",
+    "p3_texts": _CHUNKS + f"SELECT path, chunk_no, s AS first, e AS last, {_TEXT} FROM p JOIN l USING (path, chunk_no) WHERE e > 0",
+    "p3_files": _FILES + f"SELECT part::INT AS part, s AS first, e AS last, {_TEXT} FROM p JOIN l USING (part) WHERE e > 0",
     "p6_found": "WITH i AS (" + _GRAMS.format("item_id", _DOC_WORDS.format("text"), "eval_items") + "), d AS ("
     + _GRAMS.format("doc_id", _DOC_WORDS.format("text"), "documents") + ") SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
     "p7_found": _SHORT,

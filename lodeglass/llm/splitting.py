@@ -132,16 +132,18 @@ def _tables(size: int, read: Callable[[int, int], bytes], range_bytes: int) -> I
 _FIELDS = [x.split()[0] for x in TABLE_SCHEMA.split(", ")]
 
 
-def scan_texts(items: DataFrame, keys: list[str], text_col: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Boundary tables of the texts in a column, one row per range. `keys` and `delivery` go along.
+def scan_texts(items: DataFrame, keys: list[str], text_col: str, range_bytes: int = RANGE_BYTES, carried: list[str] | None = None) -> DataFrame:
+    """Boundary tables of the texts in a column, one row per range. `keys`, `carried` columns and `delivery` go along.
 
-    `delivery` names one text of several that came under a key, by size and
-    hash. Null texts and null keys are left out.
+    `delivery` names one row of several that came under a key, by size and
+    hash of its text and by its carried columns. Null texts and null keys are
+    left out.
     """
+    carried = carried or []
     kept = items.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, text_col]))
     text = F.col(text_col).cast("binary")
-    delivery = F.concat_ws("-", F.lpad(F.octet_length(text).cast("string"), 12, "0"), F.hex(F.xxhash64(F.col(text_col))))
-    source = kept.select(*keys, delivery.alias("delivery"), text.alias("_text"))
+    delivery = F.concat_ws("-", F.lpad(F.octet_length(text).cast("string"), 12, "0"), F.hex(F.xxhash64(text_col, *carried)))
+    source = kept.select(*keys, *carried, delivery.alias("delivery"), text.alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text") + ", " + TABLE_SCHEMA
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,13 +191,14 @@ def scan_files(listing: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
 
 # -- 2. stitching ------------------------------------------------------------
-def stitch(tables: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n_lines, line, offset): the natural boundaries of each item; one row without line if there is none.
+def stitch(tables: DataFrame, keys: list[str], carried: list[str] | None = None) -> DataFrame:
+    """(keys, carried, n_lines, line, offset): the natural boundaries of each item; one row without line if there is none.
 
     `line` counts from 1. Of several deliveries under a key the greatest name
-    counts, repeated ones once. Only counts and flags meet in the windows; the
+    counts, with its own carried columns, repeated ones once. Only counts and flags meet in the windows; the
     candidates stay in their rows.
     """
+    carried = carried or []
     item = Window.partitionBy(*keys)
     before = item.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     once = tables.dropDuplicates([*keys, "delivery", "range_no"])
@@ -217,8 +220,8 @@ def stitch(tables: DataFrame, keys: list[str]) -> DataFrame:
         lambda a, i: F.struct(a["cand_line"].alias("l"), a["cand_offset"].alias("o"), i.alias("i")),
     )
     natural = F.filter(F.concat(first, inner), lambda x: x["i"] == F.col("indent"))
-    rows = full.select(*keys, F.col("total").alias("n_lines"), "range_no", "base", F.explode_outer(natural).alias("b"))
-    return rows.where("b IS NOT NULL OR range_no = 0").select(*keys, "n_lines", (F.col("base") + F.col("b.l") + 1).alias("line"), F.col("b.o").alias("offset"))
+    rows = full.select(*keys, *carried, F.col("total").alias("n_lines"), "range_no", "base", F.explode_outer(natural).alias("b"))
+    return rows.where("b IS NOT NULL OR range_no = 0").select(*keys, *carried, "n_lines", (F.col("base") + F.col("b.l") + 1).alias("line"), F.col("b.o").alias("offset"))
 
 
 # -- 3. cutting --------------------------------------------------------------
@@ -316,9 +319,9 @@ def cut(boundaries: DataFrame, keys: list[str], limit: int = LIMIT, overlap: int
 # -- 4. the operator ---------------------------------------------------------
 def split_texts(
     items: DataFrame, keys: list[str], text_col: str = "content", limit: int = LIMIT, overlap: int = OVERLAP,
-    range_bytes: int = RANGE_BYTES, stretch_lines: int = STRETCH_LINES,
+    range_bytes: int = RANGE_BYTES, stretch_lines: int = STRETCH_LINES, carried: list[str] | None = None,
 ) -> DataFrame:
-    """(keys, n_lines, first, last): pieces of every text with more than `limit` lines.
+    """(keys, carried, n_lines, first, last): pieces of every text with more than `limit` lines.
 
     Lines are what line feeds separate, an empty last one included, and count
     from 1. A natural boundary lies before a visible line that follows a blank
@@ -327,10 +330,11 @@ def split_texts(
     end of the text if that is in reach, else at the last boundary in reach
     that adds a line, else at its `limit`-th line. Texts up to the limit,
     null and empty ones give no rows; a text delivered again under its key
-    counts once, of differing ones the longest.
+    counts once, of differing ones the longest. `carried` columns, which must
+    not be null, are those of the row whose text counts.
     """
-    tables = cut_lineage(scan_texts(items, keys, text_col, range_bytes))
-    return cut(stitch(tables, keys), keys, limit, overlap, stretch_lines)
+    tables = cut_lineage(scan_texts(items, keys, text_col, range_bytes, carried))
+    return cut(stitch(tables, keys, carried), [*keys, *(carried or [])], limit, overlap, stretch_lines)
 
 
 def split_files(
@@ -376,9 +380,21 @@ def piece_texts(items: DataFrame, pieces: DataFrame, keys: list[str], text_col:
     return joined.mapInPandas(slices, schema).withColumn("text", F.col("text").cast("string"))
 
 
-def file_piece_texts(listing: DataFrame, pieces: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, first, last, text): pieces of files, each read by offset from the range that owns its first line."""
-    tables = scan_files(listing, range_bytes).select("path", "range_no", "lo", "n_lines", "first_offset").where("n_lines > 0")
+def split_files_with_texts(
+    listing: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, stretch_lines: int = STRETCH_LINES,
+) -> DataFrame:
+    """(path, first, last, text): the pieces of files with their texts; the files are scanned once for boundaries and offsets."""
+    tables = cut_lineage(scan_files(listing, range_bytes))
+    return file_piece_texts(listing, cut(stitch(tables, ["path"]), ["path"], limit, overlap, stretch_lines), range_bytes, tables)
+
+
+def file_piece_texts(listing: DataFrame, pieces: DataFrame, range_bytes: int = RANGE_BYTES, tables: DataFrame | None = None) -> DataFrame:
+    """(path, first, last, text): pieces of files, each read by offset from the range that owns its first line.
+
+    `tables` are the boundary tables from which the pieces were cut, if they
+    are at hand; else the files are scanned for them.
+    """
+    tables = (scan_files(listing, range_bytes) if tables is None else tables).select("path", "range_no", "lo", "n_lines", "first_offset").where("n_lines > 0")
     before = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = tables.withColumn("base", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
     # both sides are cut at the same lines, so that a piece meets the few ranges near it, not all of its file

@@ -78,3 +78,14 @@ def test_empty_tables(spark):
     assert rows(lk.find_passages(*frames(spark, [], items))) == rows(lk.find_passages(*frames(spark, docs, []))) == []
     with pytest.raises(ValueError):
         lk.find_passages(*frames(spark, docs, items), min_words=2, misses=2)
+
+
+def test_a_stored_index_answers_any_block(spark, tmp_path):
+    docs, items = corpus()
+    frame, asked = frames(spark, docs, items)
+    index = lk.build_index(frame, folder=str(tmp_path / "index"), segment_chars=900)
+    again = lk.PassageIndex(spark, str(tmp_path / "index"), "doc_id")
+    for misses in (0, 2):
+        assert {(a, b) for a, b, _ in rows(lk.search_index(again, asked, misses=misses, block_words=90))} == set(brute(docs, items, 12, misses))
+    assert rows(lk.search_index(index, asked.where("item_id = 2"))) == rows(lk.find_passages(frame, asked.where("item_id = 2")))
+    assert index.rows().where("term IS NULL").count() > 3

@@ -65,3 +65,9 @@ def test_empty_tables(spark):
     assert [p.planned for p in plan] == [0.0] and rows(mx.sample_mix(sized, plan)) == [] and rows(mx.short_sources(spark, plan)) == []
     assert mx.mix_plan(sized, spark.createDataFrame([], TARGETS)) == []
     assert rows(mx.mix_report(mx.sample_mix(sized, plan), plan)) == [("a", 0.5, 0, 0.0, 0)]
+
+
+def test_long_texts_are_counted_as_if_whole():
+    encode = mx._encoding(mx.RANKS).encode_ordinary
+    for text in ("9" * 60_000, "word " * 20_000, "a  b\n c" * 9_000, "x" * 19_999 + " y" * 30_000, "né à " * 9_000):
+        assert "".join(mx._parts(text)) == text and sum(len(encode(p)) for p in mx._parts(text)) == len(encode(text))
