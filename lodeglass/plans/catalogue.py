@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeglass.plans import log_queries, pipeline, rank_queries, state_queries, text_queries
+from lodeglass.plans import file_queries, log_queries, pipeline, rank_queries, state_queries, text_queries
 from lodeglass.session import shipped
 
-MODULES = [text_queries, log_queries, rank_queries, state_queries, pipeline]
+MODULES = [text_queries, file_queries, log_queries, rank_queries, state_queries, pipeline]
 FLAGSHIP = "bulk_search_context"
 
 
