@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,15 +79,28 @@ _FORMS = [
     (r'^\{"level":(\d+),"time":(\d{10})\d{3},"pid":\d+,"name":"([^"]*)"', "ltc", "make_timestamp(g.t::BIGINT * 1000000)"),
     (r'^\{"message": ".*", "severity": "([^"]*)", "logger": "([^"]*)", "timestamp": "([^"]*)"', "lct", "left(g.t, 19)::TIMESTAMP"),
 ]
+_PAIR = r"regexp_extract(line, '(?:^|\s)msg=(\"(?:[^\"\\]|\\.)*\"|[^\s\"]+)', 1)"
+
+
+def _message(p: str) -> str:
+    """What a header says behind its fields; a key in JSON lines and lines of pairs."""
+    if p.startswith(r"^\{"):
+        return "coalesce(line->>'$.msg', line->>'$.message', line->>'$.text', '')"
+    return f"regexp_replace({_PAIR}, '^\"|\"$', '', 'g')" if re.match(r"\^\w+=", p) else f"ltrim(regexp_replace(line, '{p}', ''))"
+
+
 _HEADS = " UNION ALL ".join(
-    f"SELECT path, line_no, strftime({t}, '%Y-%m-%d %H:%M:%S') AS logged_at, {_LEVELS.format('g.l')} AS level, g.c AS component FROM (SELECT path, line_no, regexp_extract(line, '{p}', [{', '.join(repr(x) for x in order)}]) AS g FROM l WHERE regexp_matches(line, '{p}'))"
+    f"SELECT path, line_no, {_message(p)} AS m, strftime({t}, '%Y-%m-%d %H:%M:%S') AS logged_at, {_LEVELS.format('g.l')} AS level, g.c AS component FROM (SELECT path, line_no, line, regexp_extract(line, '{p}', [{', '.join(repr(x) for x in order)}]) AS g FROM l WHERE regexp_matches(line, '{p}'))"
     for p, order, t in _FORMS
 )
 _ENTRIES = f"""
-WITH l AS MATERIALIZED (SELECT DISTINCT path, line_no, regexp_replace(line, '\\x1b\\[[0-9;]*m', '', 'g') AS line FROM log_lines), h AS MATERIALIZED ({_HEADS}),
+WITH l AS MATERIALIZED (SELECT DISTINCT path, line_no, regexp_replace(regexp_replace(coalesce(line, ''), '^\\x{{FEFF}}|\\x1b\\[[0-9;]*m', '', 'g'), '\\r+$', '') AS line FROM log_lines), h AS MATERIALIZED ({_HEADS}),
 s AS MATERIALIZED (SELECT l.path, l.line_no AS n, max(h.line_no) OVER (PARTITION BY l.path ORDER BY l.line_no ROWS UNBOUNDED PRECEDING) AS start_no FROM l LEFT JOIN h ON l.path = h.path AND l.line_no = h.line_no)
 """
 ORACLES |= {
+    "p4_messages": f"""{_ENTRIES}, j AS (SELECT h.path, h.line_no, string_agg(CASE WHEN s.n = h.line_no THEN h.m ELSE l.line END, chr(10) ORDER BY s.n) AS msg
+        FROM h JOIN s ON s.path = h.path AND s.start_no = h.line_no JOIN l ON l.path = s.path AND l.line_no = s.n GROUP BY h.path, h.line_no)
+        SELECT path, line_no, split_part(msg, chr(10), 1) AS first_line, length(msg) AS n_chars, md5(msg) AS digest FROM j""",
     "p4_found": f"{_ENTRIES} SELECT h.path, h.line_no, max(n) AS end_line_no, any_value(logged_at) AS logged_at, any_value(level) AS level, any_value(component) AS component FROM h JOIN s ON s.path = h.path AND s.start_no = h.line_no GROUP BY h.path, h.line_no",
     "p4_scanned": f"""{_ENTRIES}, f AS (SELECT path, line_no, max(level) AS guessed_level FROM log_entries WHERE path IS NOT NULL AND line_no IS NOT NULL GROUP BY path, line_no)
         SELECT f.path, f.line_no, guessed_level, h.line_no AS entry_line_no, logged_at, level, component FROM f JOIN s ON s.path = f.path AND s.n = f.line_no JOIN h ON h.path = f.path AND h.line_no = s.start_no""",
