@@ -67,6 +67,21 @@ def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _classified(spark, d).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("files"))
 
 
+#: Attribute files that every repository of `p5_declared` is given: (path, content).
+ATTRIBUTES = [
+    (".gitattributes", "*.go linguist-generated\nlib/** linguist-vendored\n"), ("lib/.gitattributes", "*.py -linguist-vendored\n"),
+    ("src/.gitattributes", "*.go linguist-generated=false\ncore/*.ts linguist-generated\n"),
+]
+
+
+def p5_declared(spark: SparkSession, d: str) -> DataFrame:
+    """What attribute files in three folders of every repository say of its files."""
+    files = table(spark, d, "project_map").where("root_path IS NOT NULL AND path IS NOT NULL").select("root_path", "path").distinct()
+    given = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in ATTRIBUTES])).alias("a")
+    contents = files.select(F.col("root_path").alias("root")).distinct().select("root", given).select("root", "a.*")
+    return handwritten.declared(files, handwritten.attribute_rules(contents))
+
+
 # -- 6 -----------------------------------------------------------------------
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_passages(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -156,7 +171,7 @@ _FILES = _PIECES.replace("{c}", """SELECT part, 1 AS origin, string_agg(content,
 _TEXT = "length(array_to_string(ls[s:e], chr(10))) AS n_chars, md5(array_to_string(ls[s:e], chr(10))) AS digest"
 
 QUERIES = {
-    "p1_found": p1_found, "p1_weights": p1_weights, "p3_found": p3_found, "p3_texts": p3_texts, "p3_files": p3_files, "p5_found": p5_found, "p5_kinds": p5_kinds,
+    "p1_found": p1_found, "p1_weights": p1_weights, "p3_found": p3_found, "p3_texts": p3_texts, "p3_files": p3_files, "p5_found": p5_found, "p5_kinds": p5_kinds, "p5_declared": p5_declared,
     "p6_found": p6_found, "p6_near": p6_near, "p7_found": p7_found, "p7_plan": p7_plan, "p7_mix": p7_mix,
     "p8_found": p8_found, "p8_contributions": p8_contributions, "p8_statistics": p8_statistics,
 }
@@ -168,5 +183,9 @@ ORACLES = {
     "p3_files": _FILES + f"SELECT part::INT AS part, s AS first, e AS last, {_TEXT} FROM p JOIN l USING (part) WHERE e > 0",
     "p6_found": "WITH i AS (" + _GRAMS.format("item_id", _DOC_WORDS.format("text"), "eval_items") + "), d AS ("
     + _GRAMS.format("doc_id", _DOC_WORDS.format("text"), "documents") + ") SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
+    "p5_declared": r"""WITH f AS (SELECT DISTINCT root_path, path FROM project_map WHERE root_path IS NOT NULL AND path IS NOT NULL),
+        k AS (SELECT *, 'generated' AS kind, CASE WHEN regexp_matches(path, '^src/core/[^/]*\.ts$') THEN true WHEN regexp_matches(path, '^src/.*\.go$') THEN false WHEN regexp_matches(path, '\.go$') THEN true END AS value FROM f
+              UNION ALL SELECT *, 'vendored', CASE WHEN regexp_matches(path, '^lib/(.*/)?[^/]*\.py$') THEN false WHEN starts_with(path, 'lib/') THEN true END FROM f)
+        SELECT root_path, path, kind, value FROM k WHERE value IS NOT NULL""",
     "p7_found": _SHORT,
 }
