@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeglass import config
-from lodeglass.functions.text import js_round
+from lodeglass.functions.text import js_round, token_label
 from lodeglass.operators.search import top_per_group
 
 
 def judged_items(items: DataFrame, label: str = "label", tokens: str = "tokens", priority: str = "priority") -> DataFrame:
-    """`items` with `advice` (keep, consider-removing, remove) and `reason`, a code; a missing priority counts as 5."""
+    """`items` with `advice` (keep, consider-removing, remove) and `reason`, a code or else the size; a missing priority counts as 5."""
     n, name = F.col(tokens), F.lower(label)
     log, lock = F.contains(name, F.lit("log")), F.contains(name, F.lit("lock"))
     advice = (
         F.when(F.coalesce(F.col(priority), F.lit(5)) >= 8, "keep").when(n > 10_000, "consider-removing").when(log, "consider-removing").when(lock, "remove").otherwise("keep")
     )
-    reason = F.when(n > 20_000, "very-large").when(n > 10_000, "large").when(log, "log").when(lock, "lock").otherwise("size")
+    size = lambda text: F.concat(F.lit(f"{text} ("), token_label(n), F.lit(" tokens)"))
+    reason = F.when(n > 20_000, size("Very large")).when(n > 10_000, size("Large")).when(log, "log").when(lock, "lock").otherwise(F.concat(token_label(n), F.lit(" tokens")))
     return items.withColumn("advice", advice).withColumn("reason", reason)
 
 

@@ -164,6 +164,7 @@ _ALL = f"WITH {_R}, {_S.format(src='r')}"
 _FILES = f"""{_R}, {_S.format(src="r")}, sf AS (SELECT owner, item, max(read_at) AS read_at, arg_max(tokens, (read_at, tokens)) AS tokens
  FROM (SELECT * FROM s QUALIFY session_no = max(session_no) OVER (PARTITION BY owner)) GROUP BY owner, item)"""
 _T = """t AS (SELECT user_id AS project, event_id, ts, event_type, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'in_progress' WHEN 'error' THEN 'blocked' ELSE 'skipped' END AS status FROM events)"""
+_KT = "CASE WHEN tokens >= 1000 THEN printf('%.1fk', floor(tokens / 100.0 + 0.5) / 10) ELSE tokens::VARCHAR END"
 _ADVICE = "CASE WHEN coalesce(priority, 5) >= 8 THEN 'keep' WHEN tokens > 10000 OR lower(label) LIKE '%log%' THEN 'consider-removing' WHEN lower(label) LIKE '%lock%' THEN 'remove' ELSE 'keep' END"
 _LATEST = "c AS (SELECT path, max(last_read_at) AS last_read_at, arg_max({'hash': hash, 'line_count': line_count}, (last_read_at, coalesce(hash, ''), coalesce(line_count, -1))) AS v FROM file_cache GROUP BY path)"
 _SNAP = """sn AS (SELECT owner, 'checkpoint' AS label, summary, ceil(length(summary) / 4.0)::BIGINT AS token_count, files, created_at FROM (
@@ -176,7 +177,8 @@ def _oracles() -> dict[str, str]:
     from lodeglass.plans import sqltext as q
 
     items = f"SELECT coalesce(path, '') AS label, {q.code_tokens('text')} * 10 AS tokens, (doc_id % 10)::INT AS priority FROM documents"
-    reason = "CASE WHEN tokens > 20000 THEN 'very-large' WHEN tokens > 10000 THEN 'large' WHEN lower(label) LIKE '%log%' THEN 'log' WHEN lower(label) LIKE '%lock%' THEN 'lock' ELSE 'size' END"
+    reason = f"""CASE WHEN tokens > 20000 THEN 'Very large (' || {_KT} || ' tokens)' WHEN tokens > 10000 THEN 'Large (' || {_KT} || ' tokens)'
+        WHEN lower(label) LIKE '%log%' THEN 'log' WHEN lower(label) LIKE '%lock%' THEN 'lock' ELSE {_KT} || ' tokens' END"""
     source = f"SELECT doc_id, coalesce(lower(trim(source)), '') AS source, coalesce(path, '') AS label, {q.code_tokens('text')} AS tokens, 5 AS priority FROM documents"
     return {
         "sessionize_24h": f"{_ALL} SELECT event_id, owner, session_no FROM s",
